@@ -8,14 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import read_table as table
 from .encode import encode_texts
+from .normalize import look_alike_pairs, normalize_texts, transcriptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(transcriptions(spark, table(spark, sf_dir, "reviews"), table(spark, sf_dir, "samples")))
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transcription with its one form."""
+    return normalize_texts(transcriptions(spark, table(spark, sf_dir, "reviews"), table(spark, sf_dir, "samples")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids}
 
 SQL: dict[str, str] = {}
