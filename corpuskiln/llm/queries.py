@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import read_table as table
 from .encode import encode_texts
 from .normalize import look_alike_pairs, normalize_texts, transcriptions
+from .quality import no_prose, quality_statistics
+from .splits import assign_splits, related_groups, split_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +24,43 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_texts(transcriptions(spark, table(spark, sf_dir, "reviews"), table(spark, sf_dir, "samples")))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return related_groups(table(spark, sf_dir, "sources")).where("sample_id <> group_id").select("group_id", "sample_id")
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with its group and split."""
+    return assign_splits(table(spark, sf_dir, "sources"), table(spark, sf_dir, "split_policy"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and share of each split."""
+    policy = table(spark, sf_dir, "split_policy")
+    return split_report(assign_splits(table(spark, sf_dir, "sources"), policy), policy)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_texts": p1_texts, "p6_ids": p6_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return no_prose(table(spark, sf_dir, "documents"))
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of every document."""
+    return quality_statistics(table(spark, sf_dir, "documents"), keep=("doc_id", "lang", "source"))
+
+
+QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_texts": p1_texts,
+    "p2_found": p2_found,
+    "p2_splits": p2_splits,
+    "p2_report": p2_report,
+    "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
+}
 
 SQL: dict[str, str] = {}
