@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+FAMILIES = ("text_queries",)
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _family in FAMILIES:
+    _module = import_module(f"{__package__}.{_family}")
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
