@@ -20,13 +20,14 @@ def prefix_sum(df: DataFrame, order: str, value: Column, out: str, by: tuple[str
     keyed = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / block))
     keys = [*by, "_block"]
     over_blocks = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(*keys).agg(F.sum("_value").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(over_blocks), F.lit(0))).drop("_sum")
+    starts = keyed.groupBy(*keys).agg(F.sum("_value").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(over_blocks), F.lit(0)))
+    starts = starts.select(*(F.col(k).alias(f"_at_{i}") for i, k in enumerate(keys)), "_start")
+    condition = F.lit(True)
+    for i, name in enumerate(keys):
+        condition = condition & F.col(name).eqNullSafe(F.col(f"_at_{i}"))
     inside = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    condition = keyed["_block"] == starts["_block"]
-    for name in by:
-        condition = condition & keyed[name].eqNullSafe(starts[name])
-    joined = keyed.join(starts, condition).select(*(keyed[c] for c in keyed.columns), starts["_start"])
-    return joined.withColumn(out, (F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).drop("_value", "_block", "_start")
+    joined = keyed.join(starts, condition)
+    return joined.withColumn(out, (F.col("_start") + F.coalesce(F.sum("_value").over(inside), F.lit(0))).cast("long")).select(*df.columns, out)
 
 
 def row_index(df: DataFrame, order: str, out: str = "idx", by: tuple[str, ...] = ()) -> DataFrame:
