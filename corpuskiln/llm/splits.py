@@ -1,8 +1,7 @@
 """Splits that keep related records together.
 
 Records are related by identifiers, directly or through others. Connected components are found on the graph of the
-identifiers (not of the records) by alternating large-star and small-star steps, each a pair of aggregations, until the
-edges no longer change; every step is written to the shared folder. Components then get a split: by hash at first, then
+identifiers (not of the records). Components then get a split: by hash at first, then
 a search by parallel annealing moves and exchanges whole components to bring sizes and labels near the fractions, and
 the best assignment of all rounds is kept.
 """
@@ -11,12 +10,12 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..session import staged
 
 #: Rows of the table whose split columns relate them.
@@ -35,32 +34,6 @@ def identifier(raw: Column, kind: str) -> Column:
     return F.when(bare.rlike(r"\p{Nd}"), F.concat(F.lit(f"{kind}:"), bare))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of the edges, root the smallest node it is connected to.
-
-    Rows with a null end, loops and repeated edges count for nothing but the node itself. A node with very many edges
-    is no single task: minima are pre-aggregated, and the joins that hand them out are split by adaptive skew handling.
-    """
-    given = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    nodes = given.select(F.col("u").alias("node")).union(given.select("v")).distinct()
-    stars = staged(given.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    signature = None
-    for _ in range(rounds):
-        both = stars.union(stars.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == signature:
-            break
-        signature = now
-    else:
-        raise RuntimeError(f"components not found in {rounds} rounds")
-    return nodes.join(stars.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
-
 def related_groups(df: DataFrame, key: str = "sample_id", relations: tuple[str, ...] = RELATIONS) -> DataFrame:
     """(`key`, group_id) of every distinct non-null key: the smallest key of all that it is related to.
 
