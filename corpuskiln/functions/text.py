@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,7 +65,7 @@ def unicode_form(text: Column, form: str) -> Column:
 
     @F.arrow_udf(T.StringType())
     def normalized(values: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(values, form=form)
+        return pa.array([None if t is None else unicodedata.normalize(form, t) for t in values.to_pylist()], pa.string())
 
     return normalized(text)
 

@@ -86,7 +86,7 @@ SQL = {}
 # projections, 1 row to 1 row
 _lines = f"string_split({T}, chr(10))"
 for name, make, sql in (
-    ("text_p1_source_clean", X.source_clean, None),
+    ("text_p1_source_clean", X.source_clean, "case when lower(c) in ('none', 'null', 'nan', 'n/a') then '' else c end"),
     ("text_p2_web_normalize", X.web_normalize, None),
     ("text_p3_boilerplate_lines", X.strip_boilerplate_lines,
      _sql_strip(rf"regexp_replace(array_to_string(list_filter({_lines}, lambda x: not ({_sql_strip('x')} <> '' and regexp_matches(x, '{P.WEB_LINE}'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g')")),
@@ -104,6 +104,9 @@ for name, make, sql in (
     QUERIES[name] = _digest(name, make)
     if sql:
         SQL[name] = _sql_digest(sql)
+_COMPOSED = f"nfc_normalize(replace({T}, chr(65279), ''))"
+_BARE = _sql_strip(rf"replace(regexp_replace({_COMPOSED}, '[\x00-\x08\x0b-\x1f\x7f-\x{{9f}}\p{{Cf}}\p{{Co}}]', ' ', 'g'), chr(10), ' ')")
+SQL["text_p1_source_clean"] = SQL["text_p1_source_clean"].replace("from documents", f"from (select doc_id, {_BARE} as c from documents)")
 
 
 def text_p16_graphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
