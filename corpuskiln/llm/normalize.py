@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,7 +114,7 @@ SHAPES = T.StructType([
 
 def _recomposed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = pc.utf8_normalize(batch.column(2), form="NFC")
+        text = pa.array([unicodedata.normalize("NFC", t) for t in batch.column(2).to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], text], names=["h1", "h2", "canonical"])
 
 

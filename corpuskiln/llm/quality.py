@@ -37,17 +37,17 @@ ENDS = ".!?。！？᠃…．"
 CLOSERS = "\"'”’»」』）)] \t\r\n"
 EDGE = ".,;:!?\"'()“”‘’«»「」『』…-–—。，、！？；：（）᠂᠃*•"
 SENTENCE = re.compile(r"[^.!?。！？᠃…．]+[.!?。！？᠃…．]+[\"'”’»」』）)\]]*|[^.!?。！？᠃…．]+\Z")
-WORD = re.compile(r"[^\W\d_]+(?:[᠋-᠎̀-ͯ\-'’‑]*[^\W\d_]+)*")
-CLEAN = re.compile(r"[^\W\d_]+(?:[᠋-᠎̀-ͯ​-‍⁠﻿­\-'’‑]+[^\W\d_]+|[᠋-᠎̀-ͯ])*\Z|\d+(?:[.,:/-]\d+)*\Z")
+WORD = re.compile(r"[^\W\d_]+(?:[\u180b-\u180e\u0300-\u036f\-'’‑]*[^\W\d_]+)*")
+CLEAN = re.compile(r"[^\W\d_]+(?:[\u180b-\u180e\u0300-\u036f\u200b-\u200d\u2060\ufeff\u00ad\-'’‑]+[^\W\d_]+|[\u180b-\u180e\u0300-\u036f])*\Z|\d+(?:[.,:/-]\d+)*\Z")
 HAN = re.compile(r"[㐀-鿿豈-﫿]")
 HAN_NOISE = re.compile(r"[$@%&#~`|\\/^_=*<>+·!1lI]")
-SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—。，、！？；：（）“”‘’«»「」『』…᠀-᠏̀-ͯ​-‏ ⁠﻿­‐‑]")
+SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—。，、！？；：（）“”‘’«»「」『』…᠀-\u180f\u0300-\u036f\u200b-\u200f\u202f\u2060\ufeff\u00ad‐‑]")
 MARKER = re.compile(r"\s*(?:[-*•·▪■□●○◦‣–—>+]|\[[ xX✓]?\]|\[\d+\]|\(?\d{1,4}[.)、:]|\(\d+\)|№\s*\d+|\(?[a-zA-Zа-я][.)]|[IVXLCDM]+[.)])\s+(?=\S)")
 LEADER = re.compile(r"(?:\.{3,}|…+|\s·{3,})\s*\d+\s*$")
 PAGES = re.compile(r"(?:,\s*\d{1,5}){1,}\s*$")
 RULE = re.compile(r"[\s+\-|=_:*]{5,}$")
 # What divides the cells of a row, and in how many places at least.
-DELIMITERS = ((re.compile(r"\t"), 1), (re.compile(r"</t[dh]>"), 1), (re.compile(r"\|"), 2), (re.compile(r" \| "), 1), (re.compile(r";(?! )"), 2), (re.compile(r",(?! )"), 2), (re.compile(r"(?: {2,}|　+)(?=\S)"), 1), (re.compile(r"\S=\S*"), 2))
+DELIMITERS = ((re.compile(r"\t"), 1), (re.compile(r"</t[dh]>"), 1), (re.compile(r"\|"), 2), (re.compile(r" \| "), 1), (re.compile(r";(?! )"), 2), (re.compile(r",(?! )"), 2), (re.compile(r"(?: {2,}|\u3000+)(?=\S)"), 1), (re.compile(r"\S=\S*"), 2))
 #: Characters a cell has at most, on average, in a line that is a row.
 CELL = 60
 
