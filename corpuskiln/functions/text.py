@@ -158,7 +158,7 @@ def repeated_line_fraction(text: Column) -> Column:
 
 
 def symbol_to_word_ratio(text: Column) -> Column:
-    return ratio(count(text, P.JUNK), F.size(found(text, P.TOKEN)), 1.0)
+    return ratio(count(text, P.JUNK), count(text, P.TOKEN), 1.0)
 
 
 def long_words(text: Column) -> Column:
@@ -215,21 +215,6 @@ def first_reason(*cases: tuple[Column, str]) -> Column:
     return result
 
 
-def general_reason(text: Column, min_chars: int = 40, script: str = "", min_script: float = 0.5, max_repeated: float = 0.4, max_symbols: float = 0.5, word_length: tuple[float, float] = (1.5, 40.0)) -> Column:
-    """Why a text fails the general gate, null if it passes."""
-    mean = mean_word_length(text)
-    cases = [(F.length(strip(text)) < min_chars, "too_short")]
-    if script:
-        cases.append((script_ratio(text, script) < min_script, "script_impurity"))
-    cases += [
-        (repeated_line_fraction(text) > max_repeated, "repeated_lines"),
-        (symbol_to_word_ratio(text) > max_symbols, "symbol_spam"),
-        ((mean < word_length[0]) | (mean > word_length[1]), "word_len"),
-        (reduce(lambda a, b: a | b, (F.contains(text, F.lit(s)) for s in P.BOILERPLATE)), "boilerplate"),
-    ]
-    return first_reason(*cases)
-
-
 def mongolian_reason(text: Column, min_chars: int = 40, min_script: float = 0.5, max_symbols: float = 0.5, max_repeated: float = 0.4, max_latin: float = 0.2, max_cyrillic: float = 0.0) -> Column:
     size = printed(text)
     return first_reason(

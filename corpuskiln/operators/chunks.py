@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import patterns as P
 from ..functions import text as X
 
 
@@ -101,6 +103,29 @@ def word_groups(df: DataFrame, words: str, budget: int) -> DataFrame:
     return numbered.select(*rest, "chunk", F.slice(words, F.col("chunk") * budget + 1, budget).alias("words"))
 
 
+def general_gate(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), min_chars: int = 40, script: str = "", min_script: float = 0.5, max_repeated: float = 0.4, max_symbols: float = 0.5, word_length: tuple[float, float] = (1.5, 40.0)) -> DataFrame:
+    """The columns `keep` and why each text fails the general gate, null if it passes: too_short, script_impurity (only
+    with a script), repeated_lines, symbol_spam, word_len, boilerplate, whichever comes first.
+
+    What the reasons compare is measured once, in a step of its own: an array inside a condition would be built anew for
+    each comparison.
+    """
+    t = X.text_of(text)
+    measured = df.select(
+        *keep, F.length(X.strip(t)).alias("_size"), X.full_lines(t).alias("_lines"), X.count(t, P.JUNK).alias("_junk"), X.count(t, P.TOKEN).alias("_tokens"),
+        F.transform(X.long_words(t), F.length).alias("_words"), reduce(lambda a, b: a | b, (F.contains(t, F.lit(s)) for s in P.BOILERPLATE)).alias("_furniture"),
+        *([X.script_ratio(t, script).alias("_script")] if script else []),
+    )
+    lines, words = F.size("_lines"), F.size("_words")
+    mean = F.when(words >= 5, F.aggregate("_words", F.lit(0), lambda a, n: a + n) / words)
+    figures = measured.select(*keep, "_size", "_furniture", *(["_script"] if script else []), X.ratio(lines - F.size(F.array_distinct("_lines")), lines).alias("_repeated"), X.ratio(F.col("_junk"), F.col("_tokens"), 1.0).alias("_symbols"), mean.alias("_mean"))
+    cases = [(F.col("_size") < min_chars, "too_short")]
+    if script:
+        cases.append((F.col("_script") < min_script, "script_impurity"))
+    cases += [(F.col("_repeated") > max_repeated, "repeated_lines"), (F.col("_symbols") > max_symbols, "symbol_spam"), ((F.col("_mean") < word_length[0]) | (F.col("_mean") > word_length[1]), "word_len"), (F.col("_furniture"), "boilerplate")]
+    return figures.select(*keep, X.first_reason(*cases).alias("reason"))
+
+
 def web_gate(df: DataFrame, key: str = "doc_id", text: str = "text", script: str = "zh", min_chars: int = 200, min_script: float = 0.55, max_digits: float = 0.25, max_garble: float = 0.002, min_marks: float = 0.003, max_repeated: float = 0.3, max_top: float = 0.2, max_dup3: float = 0.5, max_dup4: float = 0.42) -> DataFrame:
     """(`key`, clean, reason): the cleaned text and why it fails, null if it passes. What needs n-grams is evaluated in a
     second step, only for rows that passed the first."""

@@ -21,10 +21,12 @@ BANDS, BITS = 4, 16
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The first row of every key. Only keys and order values are aggregated before the shuffle, not whole rows."""
-    keyed = df.withColumn("exact_key", key)
+    """The first row of every key, with the key as exact_key. The order column is unique; only it and the keys, computed
+    once, are aggregated: whole rows move only when the kept ones are picked out."""
+    keyed = staged(df.select(order, key.alias("exact_key")))
     first = keyed.groupBy("exact_key").agg(F.min(order).alias("_first")).select(F.col("exact_key").alias("_key"), "_first")
-    return keyed.join(first, (F.col("exact_key") == F.col("_key")) & (F.col(order) == F.col("_first"))).select(*df.columns, "exact_key")
+    kept = keyed.join(first, (F.col("exact_key") == F.col("_key")) & (F.col(order) == F.col("_first"))).select(F.col(order).alias("_first"), "exact_key")
+    return kept.select(F.col("_first").alias(order), "exact_key") if df.columns == [order] else df.join(kept, F.col(order) == F.col("_first")).select(*df.columns, "exact_key")
 
 
 def _python(pattern: str) -> str:

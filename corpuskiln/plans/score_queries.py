@@ -13,6 +13,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import planning, scoring
 from ..session import read_table as table
+from ..session import spread, staged
 from .text_queries import T
 
 QUERIES: dict = {}
@@ -33,7 +34,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transcription against the accepted text of its sample, with the bucket of the sample: one row a review."""
     reviews = table(spark, sf_dir, "reviews").groupBy("review_id").agg(F.min("sample_id").alias("sample_id"), F.min("reference_raw").alias("pred")).where("pred is not null")
     samples = table(spark, sf_dir, "samples").groupBy("sample_id").agg(F.min("reference_model.text").alias("ref"), F.min("quota_buckets").alias("bucket"), F.min("writing_mode").alias("mode")).where("ref is not null")
-    return reviews.join(samples, "sample_id")
+    return spread(reviews.join(samples, "sample_id"))
 
 
 @query()
@@ -113,9 +114,9 @@ def mix_a4_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.sequence import row_index
 
     t = X.text_of("text")
-    rows = table(spark, sf_dir, "documents").where(F.col("source").isNotNull() & (F.length(t) > 0)).select("doc_id", "source", F.length(t).alias("n"), F.greatest(F.size(X.found(t, P.WORD)), F.floor(F.length(t) / 4).cast("int"), F.lit(1)).alias("t"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).where(F.col("source").isNotNull() & (F.length(t) > 0)).select("doc_id", "source", F.length(t).alias("n"), F.greatest(X.count(t, P.WORD), F.floor(F.length(t) / 4).cast("int"), F.lit(1)).alias("t"))
     sampled = F.col("i") < 20
-    measured = row_index(rows, "doc_id", "i", ("source",)).groupBy("source").agg(
+    measured = row_index(staged(rows), "doc_id", "i", ("source",)).groupBy("source").agg(
         F.count("*").alias("docs"), F.sum("n").cast("long").alias("chars"), F.count_if(sampled).alias("sampled_docs"), F.sum(F.when(sampled, F.col("n"))).cast("long").alias("sampled_chars"), F.sum(F.when(sampled, F.col("t"))).cast("long").alias("sampled_tokens"),
     )
     return measured.withColumn("est_tokens", F.rint(F.col("chars").cast("double") * F.col("sampled_tokens") / F.col("sampled_chars")).cast("long"))

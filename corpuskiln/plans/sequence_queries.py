@@ -11,6 +11,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import sequence as S
 from ..session import read_table as table
+from ..session import spread, staged
 from .text_queries import T
 
 QUERIES: dict = {}
@@ -29,7 +30,8 @@ def query(sql: str | None = None):
 
 def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, as its size in tokens."""
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.size(X.found(X.text_of("text"), P.WORD)).cast("long").alias("n"))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return staged(documents.select("doc_id", "source", X.count(X.text_of("text"), P.WORD).cast("long").alias("n")))
 
 
 _SIZES = f"(select doc_id, source, len(regexp_extract_all({T}, '{P.WORD}')) as n from documents)"

@@ -10,6 +10,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import dedup, joins, sequence
 from ..session import read_table as table
+from ..session import spread
 from .text_queries import T, _sql_collapse
 
 QUERIES: dict = {}
@@ -90,7 +91,7 @@ _WINDOWS = "list_distinct(list_concat([sha256({0})], list_transform(generate_ser
     select h as digest, count(distinct split) as n_sides from w group by h having count(distinct split) > 1""")
 def leakage_j6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of texts and of their windows of 13 characters that occur in more than one split."""
-    texts = table(spark, sf_dir, "samples").select("split", F.col("reference_model.text").alias("t")).where("split is not null and t is not null").distinct()
+    texts = spread(table(spark, sf_dir, "samples").select("split", F.col("reference_model.text").alias("t")).where("split is not null and t is not null").distinct())
     return joins.crossing(texts.select("split", F.explode(joins.window_hashes(F.col("t"))).alias("digest")), "digest", "split")
 
 
@@ -218,7 +219,7 @@ def embedding_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, exact_key from k qualify row_number() over (partition by exact_key order by doc_id) = 1""")
 def dedup_d1_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first document of each text, white space aside."""
-    return dedup.keep_first(table(spark, sf_dir, "documents").select("doc_id", "text"), X.exact_key(X.text_of("text")), "doc_id").select("doc_id", "exact_key")
+    return dedup.keep_first(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), X.exact_key(X.text_of("text")), "doc_id").select("doc_id", "exact_key")
 
 
 @query()

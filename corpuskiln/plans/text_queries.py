@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import chunks
-from ..session import read_table
+from ..session import read_table, spread, staged
 
 T = "coalesce(text, '')"
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 def _sql_strip(x: str) -> str:
@@ -160,10 +160,10 @@ for name, make, sql in (
     QUERIES[name] = _value(name, make)
     SQL[name] = _sql_value(sql)
 for name, make, sql in (
-    ("measure_f4_tokens", lambda t: F.size(X.found(t, P.TOKEN)), _sql_count(P.TOKEN)),
+    ("measure_f4_tokens", lambda t: X.count(t, P.TOKEN), _sql_count(P.TOKEN)),
     ("measure_f12_script_counts", lambda t: X.count(t, f"[{P.SCRIPTS['mongolian']}]"), _sql_count(f"[{P.SCRIPTS['mongolian']}]")),
     ("measure_f12_printed", X.printed, SQL_PRINTED),
-    ("measure_f28_token_proxy", lambda t: F.greatest(F.size(X.found(t, P.WORD)), F.floor(F.length(t) / 4), F.lit(1)), f"greatest({_sql_count(P.WORD)}, length({T}) // 4, 1)"),
+    ("measure_f28_token_proxy", lambda t: F.greatest(X.count(t, P.WORD), F.floor(F.length(t) / 4), F.lit(1)), f"greatest({_sql_count(P.WORD)}, length({T}) // 4, 1)"),
 ):
     QUERIES[name] = _count_value(name, make)
     SQL[name] = f"select doc_id, cast({sql} as bigint) as value from documents"
@@ -225,7 +225,7 @@ SQL |= {
 
 def gate_g1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language and first failing reason of the general gate."""
-    return docs(spark, sf_dir).select("lang", F.coalesce(X.general_reason(X.text_of("text")), F.lit("kept")).alias("reason")).groupBy("lang", "reason").agg(F.count("*").alias("n"))
+    return chunks.general_gate(docs(spark, sf_dir), keep=("lang",)).select("lang", F.coalesce("reason", F.lit("kept")).alias("reason")).groupBy("lang", "reason").agg(F.count("*").alias("n"))
 
 
 def gate_g3_mongolian_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ def gate_g7_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def a1_quality_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, then exact deduplication among the survivors, then accounting by language."""
-    rows = docs(spark, sf_dir).select("doc_id", "lang", X.general_reason(X.text_of("text")).alias("reason"), X.exact_key(X.text_of("text")).alias("key"))
+    rows = staged(chunks.general_gate(docs(spark, sf_dir).withColumn("key", X.exact_key(X.text_of("text"))), keep=("doc_id", "lang", "key")))
     first = rows.where("reason is null").groupBy("key").agg(F.min("doc_id").alias("first"))
     joined = rows.join(first, "key", "left")
     final = F.coalesce("reason", F.when(F.col("doc_id") != F.col("first"), "duplicate"))
@@ -274,7 +274,8 @@ def a1_quality_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a2_character_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records, kept records, kept characters and kept Mongolian characters of each source."""
     t = X.text_of("text")
-    rows = docs(spark, sf_dir).select("source", X.general_reason(t).alias("reason"), F.length(t).alias("n"), X.count(t, f"[{P.SCRIPTS['mongolian']}]").alias("m"))
+    counted = docs(spark, sf_dir).withColumns({"n": F.length(t), "m": X.count(t, f"[{P.SCRIPTS['mongolian']}]")})
+    rows = chunks.general_gate(counted, keep=("source", "n", "m"))
     kept = F.col("reason").isNull()
     return rows.groupBy("source").agg(F.count("*").alias("input_records"), F.count_if(kept).alias("kept_records"), F.sum(F.when(kept, F.col("n")).otherwise(0)).cast("long").alias("kept_chars"), F.sum(F.when(kept, F.col("m")).otherwise(0)).cast("long").alias("kept_mongolian"))
 
