@@ -112,7 +112,7 @@ def piece_tokens(pieces: DataFrame, tokenizer: str = DEFAULT_TOKENIZER) -> DataF
 def document_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(`key`, n_tokens) of every distinct key: tokens of its text, of all its rows together where the key repeats.
 
-    0 for null and empty texts. A word that is in most documents is no hot task: words are counted by document first,
+    0 for null and empty texts and for the null key. A word that is in most documents is no hot task: words are counted by document first,
     distinct words are few, and adaptive skew handling splits the join by word.
     """
     counted = document_pieces(documents, key, text, tokenizer)

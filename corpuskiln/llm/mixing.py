@@ -90,9 +90,9 @@ def plan_runs(stats: DataFrame, runs: DataFrame) -> DataFrame:
     A row delivered twice counts once. The size is the measured one, or est_tokens where a measured figure is null; a
     source without either has size null, weighs like any other and can give nothing, but is not called exhausted. A
     null weight is 1; a null cap, or a run that is not in `runs`, has MAX_EPOCHS; total_tokens of null or 0 is the sum
-    of the run's sizes. If all weights of a run are 0, its targets are 0.
+    of the run's sizes. If all weights of a run are 0, its targets are 0. Rows without run or source have no plan.
     """
-    known = once(stats).select("run_id", "source", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce(measured_size(), F.col("est_tokens").cast("double")).alias("size"))
+    known = once(stats).where("run_id is not null and source is not null").select("run_id", "source", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce(measured_size(), F.col("est_tokens").cast("double")).alias("size"))
     whole = known.groupBy("run_id").agg(F.sum("weight").alias("_weights"), F.sum("size").alias("_sizes"))
     settings = runs.groupBy("run_id").agg(F.first("total_tokens", True).alias("total_tokens"), F.first("max_epochs", True).alias("max_epochs"))
     budget = F.when(F.coalesce("total_tokens", F.lit(0)) == 0, F.col("_sizes")).otherwise(F.col("total_tokens").cast("double"))

@@ -87,13 +87,13 @@ def pack_documents(documents: DataFrame, bins: DataFrame, sources: DataFrame | N
     kind counts once. The shares of the sources are the weights of `sources` (null is 1) or, without it, their shares of
     the tokens; sources without a weight share what is left over. A text is whole, with first_token 0, unless it alone
     exceeds the capacity: then it is cut into full bins of its own and a rest that shares a bin. Texts without tokens
-    (null, empty) take no room and are in no bin. Repeated rows are packed each. An empty table gives an empty result.
+    (null, empty) take no room and are in no bin. Repeated rows and rows with a null key are packed each. An empty table gives an empty result.
     """
     kinds = {r["bin_kind"]: r["capacity_tokens"] for r in bins.where("bin_kind is not null and capacity_tokens > 0").orderBy("capacity_tokens").limit(1000).collect()}
     if not kinds:
         raise ValueError("no bins")
     counted = count_tokens(documents, keep=(key, "source"), tokenizer=tokenizer).where("n_tokens > 0")
-    counted = staged(counted.select(F.col(key).alias("_key"), F.coalesce("source", F.lit("")).alias("source"), "n_tokens"))
+    counted = staged(counted.select(F.col(key).cast("string").alias("_key"), F.coalesce("source", F.lit("")).alias("source"), "n_tokens"))
     parts = max(1, math.ceil(counted.count() / PART_ITEMS))
     items = counted.withColumn("part", F.pmod(F.xxhash64("_key"), F.lit(parts)).cast("int"))
 
@@ -119,7 +119,7 @@ def pack_documents(documents: DataFrame, bins: DataFrame, sources: DataFrame | N
     grid = of_part.join(totals, ["part", "source"], "left").na.fill(0, ["n"]).withColumn("behind", F.coalesce(F.sum(F.col("share") * F.col("all_tokens") - F.col("n")).over(ahead), F.lit(0.0)))
     owed = grid.select(F.col("part").alias("owed_part"), F.col("source").alias("owed_source"), F.col("behind").alias("behind"), F.explode(kind_names).alias("b")).select(F.col("b.bin_kind").alias("owed_kind"), "owed_part", "owed_source", "behind")
     spreaded = items.select("part", "_key", "source", "n_tokens", F.explode(kind_names).alias("b")).select("b.bin_kind", "part", "_key", "source", "n_tokens")
-    schema = f"bin_kind string, capacity int, part int, bin int, {key} {documents.schema[key].dataType.simpleString()}, source string, first_token long, n_tokens long"
+    schema = f"bin_kind string, capacity int, part int, bin int, {key} string, source string, first_token long, n_tokens long"
 
     def pack(group: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         kind, part = start.iloc[0]["owed_kind"], int(start.iloc[0]["owed_part"])
@@ -142,7 +142,7 @@ def pack_documents(documents: DataFrame, bins: DataFrame, sources: DataFrame | N
         return out.assign(bin_kind=kind, capacity=capacity, part=part)[["bin_kind", "capacity", "part", "bin", key, "source", "first_token", "n_tokens"]]
 
     packed = spreaded.groupBy("bin_kind", "part").cogroup(owed.groupBy("owed_kind", "owed_part")).applyInPandas(pack, schema)
-    return packed.withColumn("source", F.when(F.col("source") != "", F.col("source")))
+    return packed.withColumn("source", F.when(F.col("source") != "", F.col("source"))).withColumn(key, F.col(key).cast(documents.schema[key].dataType))
 
 
 def packing_report(packed: DataFrame) -> DataFrame:

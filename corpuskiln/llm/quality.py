@@ -152,7 +152,10 @@ def measure(text: str | None) -> tuple:
         marked |= pages
     bare = [line.rstrip(CLOSERS) for line in lines]
     ended = [bool(b) and b[-1] in ENDS for b in bare]
-    # lines that end in one separator again and again are entries, and so are short lines of which hardly any ends a sentence
+    words = WORD.findall(text)
+    common = sum(w in COMMON or w.lower() in COMMON for w in words)
+    period, rhythm = autocorrelation([len(x) - len(x.lstrip()) for x in lines]), autocorrelation([len(x) for x in lines])
+    # lines that end in one separator again and again are entries
     separated = [k for k, b in enumerate(bare) if b and b[-1] in ",;，；、᠂"]
     if n >= 4 and len(separated) >= 0.6 * n and chars / n < 80:
         marked |= set(range(n)) - rows
@@ -189,16 +192,19 @@ def measure(text: str | None) -> tuple:
             else:
                 seen.add(key)
     tokens = text.split()
-    words = WORD.findall(text)
     broken = broken_share(text, tokens, chars)
     share = good / chars
     prose = share >= 0.5 and broken < 0.3
+    # of what is no prose, lines of which hardly any ends a sentence, with hardly a common word, are entries too if they
+    # are indented periodically, alike in length, or short
+    alike = period >= 0.3 or rhythm >= 0.2 or chars / n < 40
+    if not prose and n >= 4 and sum(ended) <= 0.2 * n and common <= 0.08 * len(words) and len(words) >= 0.3 * n and alike:
+        listed = chars - held
     kind = "prose" if prose else "table" if held >= 0.4 * chars else "list" if listed >= 0.4 * chars else "junk"
-    common = sum(w in COMMON or w.lower() in COMMON for w in words)
     return (
         len(text), n, len(words), sum(map(len, words)) / len(words) if words else 0.0, len(SYMBOL.findall(text)) / chars,
         sum(ended) / n, common / len(words) if words else 0.0, aligned,
-        autocorrelation([len(x) - len(x.lstrip()) for x in lines]), autocorrelation([len(x) for x in lines]),
+        period, rhythm,
         held / chars, listed / chars, repeated / chars, share, kind, prose,
     )
 

@@ -184,7 +184,9 @@ def assign_splits(df: DataFrame, policy: DataFrame, key: str = "sample_id", rela
             runs = [_Search(items, at, wanted, scale, hash((seed, turn, chain)) & 0x7FFFFFFF).run(steps_each * len(items) + 2000) for chain in range(chains)]
             return pd.DataFrame({"group_id": block["group_id"], "_new": min(runs, key=lambda r: r[1])[0]})
 
-        found = chosen.groupBy("_block").applyInPandas(search, "group_id string, _new int")
+        # a number of partitions of our own: small blocks would else be put into few tasks, and annealing is CPU
+        slices = min(blocks, 4 * table.sparkSession.sparkContext.defaultParallelism)
+        found = chosen.repartition(slices, "_block").groupBy("_block").applyInPandas(search, "group_id string, _new int")
         return staged(table.join(found, "group_id", "left").withColumn("_split", F.coalesce("_new", "_split")).drop("_new"))
 
     off = deviation(parts)
