@@ -26,7 +26,7 @@ LOOK_ALIKES = {
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ә": "ǝ", "ӕ": "æ",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y",
     "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԍ": "G", "Ӕ": "Æ",
-    "Ү": "Y", "Ә": "Ə",
+    "Ә": "Ə",
     # Greek
     "ο": "o", "ν": "v", "ϳ": "j", "ϲ": "c",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
