@@ -13,7 +13,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import planning, scoring
 from ..session import read_table as table
-from ..session import spread, staged
+from ..session import placed, spread, staged
 from .text_queries import T
 
 QUERIES: dict = {}
@@ -34,7 +34,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A transcription against the accepted text of its sample, with the bucket of the sample: one row a review."""
     reviews = table(spark, sf_dir, "reviews").groupBy("review_id").agg(F.min("sample_id").alias("sample_id"), F.min("reference_raw").alias("pred")).where("pred is not null")
     samples = table(spark, sf_dir, "samples").groupBy("sample_id").agg(F.min("reference_model.text").alias("ref"), F.min("quota_buckets").alias("bucket"), F.min("writing_mode").alias("mode")).where("ref is not null")
-    return spread(reviews.join(samples, "sample_id"))
+    return placed(reviews, "sample_id").join(placed(samples, "sample_id"), "sample_id")
 
 
 @query()

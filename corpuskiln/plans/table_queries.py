@@ -10,7 +10,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import dedup, joins, sequence
 from ..session import read_table as table
-from ..session import spread
+from ..session import placed, spread
 from .text_queries import T, _sql_collapse
 
 QUERIES: dict = {}
@@ -91,7 +91,7 @@ _WINDOWS = "list_distinct(list_concat([sha256({0})], list_transform(generate_ser
     select h as digest, count(distinct split) as n_sides from w group by h having count(distinct split) > 1""")
 def leakage_j6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of texts and of their windows of 13 characters that occur in more than one split."""
-    texts = spread(table(spark, sf_dir, "samples").select("split", F.col("reference_model.text").alias("t")).where("split is not null and t is not null").distinct())
+    texts = placed(table(spark, sf_dir, "samples").select("split", F.col("reference_model.text").alias("t")).where("split is not null and t is not null"), "split", "t").distinct()
     return joins.crossing(texts.select("split", F.explode(joins.window_hashes(F.col("t"))).alias("digest")), "digest", "split")
 
 
@@ -102,7 +102,7 @@ def leakage_g11_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews that share windows with the texts of a held-out split, and how many."""
     held = table(spark, sf_dir, "samples").where("split = 'formal_monitor'").select(F.col("reference_model.text").alias("t")).where("t is not null").distinct()
     excluded = held.select(F.explode(joins.window_hashes(F.col("t"))).alias("h")).distinct()
-    rows = table(spark, sf_dir, "reviews").where("reference_raw is not null").select("review_id", "reference_raw").distinct()
+    rows = placed(table(spark, sf_dir, "reviews").where("reference_raw is not null").select("review_id", "reference_raw"), "review_id", "reference_raw").distinct()
     return rows.select("review_id", F.explode(joins.window_hashes(F.col("reference_raw"))).alias("h")).join(excluded, "h", "left_semi").groupBy("review_id").agg(F.count("*").alias("hits"))
 
 

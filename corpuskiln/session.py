@@ -52,8 +52,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, slices: int | None = None) -> DataFrame:
-    """df in at least as many partitions as the cluster has cores (or `slices`), for scans whose few input files would
-    otherwise leave most cores idle in a Python-heavy stage; unchanged where the scan already has enough."""
+    """A scan in at least as many partitions as the cluster has cores (or `slices`), where its few input files would
+    otherwise leave most cores idle in a heavy stage; unchanged where it already has enough. For scans only: a plan with
+    shuffles would run them just to be counted."""
     spark = df.sparkSession
     wanted = slices or spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def placed(df: DataFrame, *columns: str) -> DataFrame:
+    """df by key in as many partitions as the session shuffles into. It serves the join or aggregation by these columns
+    that follows, like the exchange Spark would add, but is not coalesced for being small: for heavy stages on few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
