@@ -45,6 +45,7 @@ SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-–—。，、！？；：（）“”
 MARKER = re.compile(r"\s*(?:[-*•·▪■□●○◦‣–—>+]|\[[ xX✓]?\]|\[\d+\]|\(?\d{1,4}[.)、:]|\(\d+\)|№\s*\d+|\(?[a-zA-Zа-я][.)]|[IVXLCDM]+[.)])\s+(?=\S)")
 LEADER = re.compile(r"(?:\.{3,}|…+|\s·{3,})\s*\d+\s*$")
 PAGES = re.compile(r"(?:,\s*\d{1,5}){1,}\s*$")
+REFERENCE = re.compile(r"\s*(?:\[\d+\]\s*)?(?:https?://|www\.)\S+\s*\Z")
 RULE = re.compile(r"[\s+\-|=_:*]{5,}$")
 # What divides the cells of a row, and in how many places at least.
 DELIMITERS = ((re.compile(r"\t"), 1), (re.compile(r"</t[dh]>"), 1), (re.compile(r"\|"), 2), (re.compile(r" \| "), 1), (re.compile(r";(?! )"), 2), (re.compile(r",(?! )"), 2), (re.compile(r"(?: {2,}|\u3000+)(?=\S)"), 1), (re.compile(r"\S=\S*"), 2))
@@ -193,7 +194,11 @@ def measure(text: str | None) -> tuple:
                 seen.add(key)
     tokens = text.split()
     broken = broken_share(text, tokens, chars)
-    share = good / chars
+    # a heading and bare references around running sentences do not count against them
+    beside = sum(printed(line) for line in lines if REFERENCE.match(line))
+    if n > 1 and not ended[0] and len(lines[0]) <= CELL and "\n\n" in text.lstrip()[: len(lines[0]) + 2]:
+        beside += printed(lines[0])
+    share = good / max(chars - beside, good) if good else 0.0
     prose = share >= 0.5 and broken < 0.3
     # of what is no prose, lines of which hardly any ends a sentence, with hardly a common word, are entries too if they
     # are indented periodically, alike in length, or short
