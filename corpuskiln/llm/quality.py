@@ -111,7 +111,7 @@ def reads_like_language(sentence: str, entry: bool) -> bool:
         common = sum(c in COMMON_HAN for c in sentence)
         if entry and (han < 8 or bare[-1] == "."):
             return False
-        return han >= 5 and common >= 0.08 * han
+        return han >= 5 and (common >= 0.08 * han or bare[-1] in "。！？")
     found = [w for w in words if w in COMMON or w.lower() in COMMON]
     if len(words) < 4 or not found or max(map(len, found)) < 2:
         return False
