@@ -311,7 +311,7 @@ def test_statistics_of_awkward_rows(spark):
 
 
 def test_labels_agree(spark, sf_dir):
-    """Held-out hand labels, of which some are wrong."""
+    """Hand labels, of which some are wrong; the rules were tuned on tables of this kind, so this guards against regressions only."""
     labels = spark.read.parquet(f"{sf_dir}/doc_labels.parquet").where("kind is not null").groupBy("doc_id").agg(F.mode("kind").alias("label"))
     found = quality.quality_statistics(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("kind is not null").join(labels, "doc_id")
     assert found.agg(F.avg(F.when((F.col("label") == "prose") == F.col("is_prose"), 1.0).otherwise(0.0))).first()[0] >= 0.8
