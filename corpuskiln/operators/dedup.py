@@ -68,6 +68,14 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 
 
+def band_places(parts: int) -> list[tuple[int, int]]:
+    """(lowest bit, width) of each of `parts` bands of 64 bits; none is empty, the first ones are a bit wider."""
+    if not 2 <= parts <= 64:
+        raise ValueError(f"64 bits in {parts} bands")
+    width, wider = divmod(64, parts)
+    return [(i * width + min(i, wider), width + (i < wider)) for i in range(parts)]
+
+
 def near_pairs(sigs: DataFrame, limit: int, key: str = "doc_id", sig: str = "sig", bands: int | None = None) -> DataFrame:
     """(a, b, dist) of all pairs of different keys, a before b, whose signatures differ in at most `limit` bits.
 
@@ -75,12 +83,9 @@ def near_pairs(sigs: DataFrame, limit: int, key: str = "doc_id", sig: str = "sig
     signatures are brought together. By default limit + 1 bands make the search exact (of so many parts of a signature
     at least one is equal); fewer bands find only pairs that share one.
     """
-    parts = bands or limit + 1
-    width = -(-64 // parts)
     held = staged(sigs.select(F.col(key).alias("key"), F.col(sig).alias("sig")))
     distinct = held.select("sig").distinct()
-    mask = F.lit((1 << width) - 1).cast("long")
-    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("sig", width * i).bitwiseAND(mask).alias("part")) for i in range(parts) if width * i < 64))
+    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("sig", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("part")) for i, (low, width) in enumerate(band_places(bands or limit + 1))))
     banded = distinct.select("sig", F.explode(cut).alias("b")).select("sig", "b.band", "b.part")
     left, right = banded.withColumnRenamed("sig", "sa"), banded.withColumnRenamed("sig", "sb")
     close = left.join(right, ["band", "part"]).where(F.col("sa") < F.col("sb")).where(distance(F.col("sa"), F.col("sb")) <= limit).select("sa", "sb").distinct()

@@ -160,6 +160,25 @@ def test_near_pairs_are_all_pairs(spark):
     assert got == want
 
 
+def test_near_pairs_at_a_limit_that_does_not_divide_the_bits(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    sigs = [base, *(base ^ sum(1 << k for k in range(low, 64, 5)) for low in range(5)), base ^ sum(1 << k for k in (*range(0, 64, 5), 1))]
+    for d in (13, 14, 15):
+        sigs += [base ^ sum(1 << k for k in rng.sample(range(64), d)) for _ in range(20)]
+    sigs = [s - 2**64 if s >= 2**63 else s for s in sigs]
+    got = {(r["a"], r["b"], r["dist"]) for r in dedup.near_pairs(spark.createDataFrame(list(enumerate(sigs)), "doc_id long, sig long"), 14).collect()}
+    want = {(i, j, d) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (d := ((sigs[i] ^ sigs[j]) & (2**64 - 1)).bit_count()) <= 14}
+    assert {(0, 1, 13), (0, 6, 14)} <= want
+    assert got == want
+
+
+def test_bands_hold_every_bit_once():
+    for parts in range(2, 65):
+        assert sorted(k for low, width in dedup.band_places(parts) for k in range(low, low + width)) == list(range(64))
+        assert all(width for _, width in dedup.band_places(parts))
+
+
 def test_first_independent_is_the_sequential_rule(spark):
     rng = random.Random(4)
     pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
