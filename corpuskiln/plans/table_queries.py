@@ -145,10 +145,10 @@ _BOXES = """select l_suppkey as g, l_orderkey * 10 + l_linenumber as id, cast(l_
     cast(l_partkey % 400 + l_quantity as int) as x1, cast(l_orderkey % 300 + l_quantity / 2 as int) as y1 from lineitem where l_returnflag = '{0}' and l_linenumber <= 2"""
 
 
-def _boxes(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == flag) & (F.col("l_linenumber") <= 2)).select(
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 400).cast("int").alias("x0"), (F.col("l_orderkey") % 300).cast("int").alias("y0"),
-        F.round(F.col("l_partkey") % 400 + F.col("l_quantity")).cast("int").alias("x1"), F.bround(F.col("l_orderkey") % 300 + F.col("l_quantity") / 2).cast("int").alias("y1"),
+        F.round(F.col("l_partkey") % 400 + F.col("l_quantity")).cast("int").alias("x1"), F.bround(F.col("l_orderkey") % 300 + F.col("l_quantity") / 2).cast("int").alias("y1"), "l_returnflag", "l_linenumber",
     )
 
 
@@ -157,8 +157,17 @@ def _boxes(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     a.x0 <= b.x0 and a.y0 <= b.y0 and b.x1 <= a.x1 and b.y1 <= a.y1 as inside from a join b using (g)
     where a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 and a.x1 > a.x0 and a.y1 > a.y0 and b.x1 > b.x0 and b.y1 > b.y0""")
 def join_j14_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping boxes of a group, by cells of a grid."""
-    return joins.box_join(_boxes(spark, sf_dir, "A"), _boxes(spark, sf_dir, "R"), ["g"])
+    """Overlapping boxes of a group, by cells of a grid: of the first two lines of an order, as the SQL has it."""
+    boxes = _boxes(spark, sf_dir).where("l_linenumber <= 2")
+    return joins.box_join(boxes.where("l_returnflag = 'A'"), boxes.where("l_returnflag = 'R'"), ["g"])
+
+
+@query()
+def join_j14_all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping boxes of a group, by cells of a grid: every row against every row. A row meets itself too: ids repeat,
+    so they cannot tell a row from another one of its id."""
+    boxes = _boxes(spark, sf_dir)
+    return joins.box_join(boxes, boxes, ["g"])
 
 
 @query("select distinct source from documents d where source is not null and not exists (select 1 from source_stats s where s.source = d.source and s.run_id = 'run-0000001')")

@@ -324,3 +324,18 @@ def test_receipts(spark, tmp_path):
         sinks.publish(contract, str(tmp_path / "contract.json"))
     sinks.write_row_shards(df, str(tmp_path / "shards"), "id", 4)
     assert [r["count"] for r in spark.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().orderBy("shard").collect()] == [4, 4, 2]
+
+
+def test_all_boxes_are_joined(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(k // 7, k % 7 + 1, rng.randint(1, 2), rng.randint(0, 60), float(rng.randint(1, 40)), rng.choice("ANR")) for k in range(70)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, table_queries.join_j14_all_boxes(spark, str(tmp_path)).collect()))
+    boxes = [(g, o * 10 + n, p, o, p + int(q), round(o + q / 2)) for o, n, g, p, q, _ in rows]
+    want = []
+    for a in boxes:
+        for b in boxes:
+            w, h = min(a[4], b[4]) - max(a[2], b[2]), min(a[5], b[5]) - max(a[3], b[3])
+            if a[0] == b[0] and w > 0 and h > 0:
+                want.append((a[0], a[1], b[1], w * h, a[2] <= b[2] and a[3] <= b[3] and b[4] <= a[4] and b[5] <= a[5]))
+    assert got == sorted(want)
