@@ -307,17 +307,19 @@ def split_f27_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDER = "sha256('7' || chr(0) || quota_buckets || chr(0) || '{0}' || chr(0) || sample_id || chr(0) || 'order')"
 
 
-def bucket_order(samples: DataFrame, epoch: int) -> DataFrame:
-    digest = H.joined_hash(F.lit("7"), F.col("quota_buckets"), F.lit(str(epoch)), F.col("sample_id"), F.lit("order"))
+def bucket_order(samples: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
+    """Samples of each bucket in the order of a digest: of epoch 0, or of each (quota_buckets, epoch) of `epochs`."""
     rows = samples.where("quota_buckets is not null").select("quota_buckets", "sample_id").distinct()
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("quota_buckets").orderBy(digest, "sample_id")) - 1).cast("long"))
+    rows = rows.withColumn("epoch", F.lit(0).cast("long")) if epochs is None else rows.join(epochs, "quota_buckets")
+    digest = H.joined_hash(F.lit("7"), F.col("quota_buckets"), F.col("epoch").cast("string"), F.col("sample_id"), F.lit("order"))
+    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("quota_buckets", "epoch").orderBy(digest, "sample_id")) - 1).cast("long"))
 
 
 @query(f"""select quota_buckets, sample_id, row_number() over (partition by quota_buckets order by {_ORDER.format(0)}, sample_id) - 1 as pos
     from (select distinct quota_buckets, sample_id from samples where quota_buckets is not null)""")
 def order_o2_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of each bucket in the order of a digest."""
-    return bucket_order(table(spark, sf_dir, "samples"), 0)
+    return bucket_order(table(spark, sf_dir, "samples")).drop("epoch")
 
 
 def quota_cycle(quotas: dict[str, int]) -> list[str]:
@@ -342,15 +344,29 @@ CYCLE = quota_cycle(QUOTAS)
     n as (select quota_buckets, count(*) as size from o group by quota_buckets)
     select draw, bucket, occurrence // size as epoch, sample_id from d join n on bucket = n.quota_buckets join o on o.quota_buckets = bucket and o.pos = occurrence % size where occurrence // size = 0""")
 def order_o3_quota_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 draws of the quota schedule in closed form: draw to bucket and occurrence, occurrence to a place in
-    the bucket's hash order."""
-    slots = F.array(*(F.lit(b) for b in CYCLE))
-    draws = spark.range(400).select(F.col("id").alias("draw"), slots[(F.col("id") % 20).cast("int")].alias("bucket"))
-    draws = draws.withColumn("occurrence", F.row_number().over(Window.partitionBy("bucket").orderBy("draw")) - 1)
-    order = bucket_order(table(spark, sf_dir, "samples"), 0)
-    sizes = order.groupBy("quota_buckets").agg(F.count("*").alias("size"))
-    placed = draws.join(F.broadcast(sizes), F.col("bucket") == F.col("quota_buckets")).drop("quota_buckets").withColumn("epoch", F.floor(F.col("occurrence") / F.col("size"))).withColumn("at", F.pmod("occurrence", "size"))
-    return placed.where("epoch = 0").join(order, (F.col("bucket") == F.col("quota_buckets")) & (F.col("at") == F.col("pos"))).select("draw", "bucket", "epoch", "sample_id")
+    """Those of the first 400 draws that fall into the first epoch of their bucket, as the SQL has it."""
+    return quota_schedule(table(spark, sf_dir, "samples")).where("epoch = 0")
+
+
+@query()
+def order_o3_all_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 400 draws of the quota schedule, in every epoch they reach."""
+    return quota_schedule(table(spark, sf_dir, "samples"))
+
+
+def quota_schedule(samples: DataFrame, n: int = 400) -> DataFrame:
+    """(draw, bucket, epoch, sample_id) of the first n draws in closed form: draw to bucket and occurrence, occurrence to
+    an epoch and a place in the bucket's hash order of that epoch. Draws of a bucket without samples have null epochs.
+    Only epochs that occur are ordered: of each bucket at most n rows more than it has samples."""
+    slots, before = F.array(*(F.lit(b) for b in CYCLE)), F.array(*(F.lit(CYCLE[:k].count(b)) for k, b in enumerate(CYCLE)))
+    each = F.array(*(F.lit(QUOTAS[b]) for b in CYCLE))
+    slot = (F.col("draw") % len(CYCLE)).cast("int")
+    draws = samples.sparkSession.range(n).select(F.col("id").alias("draw")).select("draw", slots[slot].alias("bucket"), (F.floor(F.col("draw") / len(CYCLE)) * each[slot] + before[slot]).alias("occurrence"))
+    sizes = samples.where("quota_buckets is not null").groupBy(F.col("quota_buckets").alias("bucket")).agg(F.countDistinct("sample_id").alias("size")).where("size > 0")
+    at = draws.join(F.broadcast(sizes), "bucket", "left").select("draw", "bucket", F.floor(F.col("occurrence") / F.col("size")).alias("epoch"), F.pmod("occurrence", "size").alias("pos"))
+    epochs = at.where("epoch is not null").select(F.col("bucket").alias("quota_buckets"), "epoch").distinct()
+    order = bucket_order(samples, epochs).withColumnRenamed("quota_buckets", "bucket")
+    return at.join(order, ["bucket", "epoch", "pos"], "left").select("draw", "bucket", "epoch", "sample_id")
 
 
 @query(f"""with r as (select doc_id, {UNIT_SQL.format("sha256('5' || chr(0) || cast(doc_id as varchar))")} as u, case when lang = 'en' then 0.35 else 2.4 end as rate from documents)

@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures."""
 
+import hashlib
 import io
 import json
 import random
@@ -339,3 +340,21 @@ def test_all_boxes_are_joined(spark, tmp_path):
             if a[0] == b[0] and w > 0 and h > 0:
                 want.append((a[0], a[1], b[1], w * h, a[2] <= b[2] and a[3] <= b[3] and b[4] <= a[4] and b[5] <= a[5]))
     assert got == sorted(want)
+
+
+def test_schedule_goes_on_in_later_epochs(spark):
+    sizes = {"print": 7, "handwritten_good": 50, "handwritten_medium": 1}
+    ids = {b: [f"{b}-{k}" for k in range(n)] for b, n in sizes.items()}
+    df = spark.createDataFrame([(b, i) for b, held in ids.items() for i in held] * 2 + [(None, "x")], "quota_buckets string, sample_id string")
+    got = {r["draw"]: (r["bucket"], r["epoch"], r["sample_id"]) for r in table_queries.quota_schedule(df, 100).collect()}
+    drawn, want = dict.fromkeys(table_queries.QUOTAS, 0), {}
+    for draw in range(100):
+        bucket = table_queries.CYCLE[draw % 20]
+        if bucket in sizes:
+            epoch, at = divmod(drawn[bucket], sizes[bucket])
+            order = sorted(ids[bucket], key=lambda i: (hashlib.sha256("\0".join(["7", bucket, str(epoch), i, "order"]).encode()).hexdigest(), i))
+            want[draw] = (bucket, epoch, order[at])
+        else:
+            want[draw] = (bucket, None, None)
+        drawn[bucket] += 1
+    assert got == want
