@@ -187,15 +187,39 @@ def join_j12_consistent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_.groupBy("run_id").agg(F.count("*").alias("n_sources"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("k") > 1).alias("changed"))
 
 
+FRACTIONS = [("train", 0.88), ("sft_validation", 0.06), ("kl_selection", 0.03), ("formal_monitor", 0.03)]
+
+
 @query()
 def split_d7_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of samples that share a document, capture or writer, and the split of each by hash."""
-    parts = {"document": "source_document_id", "capture": "source_capture_id", "writer": "writer_id"}
-    held = table(spark, sf_dir, "sources").select("sample_id", *parts.values()).distinct()
-    keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(c))) for k, c in parts.items())))
-    edges = held.select(F.concat(F.lit("sample:"), "sample_id").alias("a"), F.explode(keys).alias("b"))
-    roots = components.connected_components(edges).where("node like 'sample:%'").select(F.substring("node", 8, 100).alias("sample_id"), F.col("root").alias("component"))
-    return roots.select("sample_id", "component", H.split_of(H.unit(H.joined_hash(F.lit("17"), F.col("component"))), [("train", 0.88), ("sft_validation", 0.06), ("kl_selection", 0.03), ("formal_monitor", 0.03)]).alias("split"))
+    """Components of samples that share a document, capture, writer, pixel digest or near-duplicate cluster, and the split
+    of each: the one that accepted samples lock for any of its identities, else by hash. Where locks contradict each
+    other the split is null and the origin conflict."""
+    sample = F.concat(F.lit("sample:"), "sample_id")
+
+    def related(df: DataFrame, parts: dict[str, str], *kept: str) -> DataFrame:
+        keys = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{k}:"), F.col(c))) for k, c in parts.items())))
+        return df.where("sample_id is not null").select(sample.alias("a"), F.explode(keys).alias("b"), *kept)
+
+    sources = table(spark, sf_dir, "sources").where("sample_id is not null")
+    known = sources.select("sample_id").distinct()
+    reviews, samples = table(spark, sf_dir, "reviews"), table(spark, sf_dir, "samples")
+    pixel, near = {"pixel": "canonical_pixel_sha256"}, {"near_duplicate": "group_ids.near_duplicate_cluster"}
+    edges = related(sources, {"document": "source_document_id", "capture": "source_capture_id", "writer": "writer_id"})
+    edges = edges.union(related(reviews.join(known, "sample_id", "left_semi"), pixel)).union(related(samples.join(known, "sample_id", "left_semi"), near))
+    edges = edges.union(known.select(sample.alias("a"), sample.alias("b"))).distinct()
+    roots = components.connected_components(edges)
+    # what an accepted sample locks: itself and every identity it has
+    held = samples.where("split is not null")
+    locks = related(held, {"document": "group_ids.document_id", "capture": "group_ids.capture_id", "writer": "group_ids.writer_id", **near}, "split").select(F.col("b").alias("node"), "split")
+    locks = locks.union(held.where("sample_id is not null").select(sample.alias("node"), "split"))
+    locks = locks.union(related(reviews.join(held.select("sample_id", "split").distinct(), "sample_id"), pixel, "split").select("b", "split")).distinct()
+    locked = roots.join(locks, "node").groupBy("root").agg(F.min("split").alias("locked"), F.countDistinct("split").alias("n"))
+    hashed = H.split_of(H.unit(H.joined_hash(F.lit("17"), F.col("root"))), FRACTIONS)
+    joined = roots.where("node like 'sample:%'").join(locked, "root", "left")
+    split = F.when(F.col("n").isNull(), hashed).when(F.col("n") == 1, F.col("locked"))
+    origin = F.when(F.col("n").isNull(), "hash").when(F.col("n") == 1, "lock").otherwise("conflict")
+    return joined.select(F.expr("substring(node, 8)").alias("sample_id"), F.col("root").alias("component"), split.alias("split"), origin.alias("origin"))
 
 
 @query("select qa_state, writing_mode, count(*) as n, min(reference_token_count) as low, cast(sum(reference_token_count) as bigint) as total, max(reference_token_count) as high from samples group by qa_state, writing_mode")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as X
 from corpuskiln.operators import chunks, components, dedup, joins, planning, scoring, sequence
-from corpuskiln.plans import table_queries
+from corpuskiln.plans import row_queries, table_queries
 from corpuskiln.sources import readers, sinks
 
 ALPHABET = "aAé bᠠᠡ᠋ 文。\n\t .,1²x"
@@ -358,3 +358,26 @@ def test_schedule_goes_on_in_later_epochs(spark):
             want[draw] = (bucket, None, None)
         drawn[bucket] += 1
     assert got == want
+
+
+def test_components_by_pixel_and_cluster_and_locks(spark, tmp_path):
+    sources = [(k, f"d{k}", f"c{k}", None) for k in "abcefghx"] + [("i", "d-lock", "ci", None), ("j", None, None, None)]
+    reviews = [("a", "px"), ("b", "px"), ("g", "py"), ("h", "py"), ("orphan", "px"), ("x", None)]
+    samples = [(k, s, (f"d{k}", f"c{k}", None, n)) for k, s, n in [("b", "kl_selection", "n1"), ("c", None, "n1"), ("e", None, "n2"), ("f", None, "n2"), ("g", "train", None), ("h", "formal_monitor", None)]]
+    samples.append(("z", "sft_validation", ("d-lock", None, None, None)))
+    for name, rows, schema in (
+        ("sources", sources, "sample_id string, source_document_id string, source_capture_id string, writer_id string"),
+        ("reviews", reviews, "sample_id string, canonical_pixel_sha256 string"),
+        ("samples", samples, "sample_id string, split string, group_ids struct<document_id:string,capture_id:string,writer_id:string,near_duplicate_cluster:string>"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["sample_id"]: r for r in row_queries.split_d7_components(spark, str(tmp_path)).collect()}
+    assert sorted(got) == sorted("abcefghijx")
+    groups = {}
+    for k, r in got.items():
+        groups.setdefault(r["component"], set()).add(k)
+    assert sorted(map(sorted, groups.values())) == [["a", "b", "c"], ["e", "f"], ["g", "h"], ["i"], ["j"], ["x"]]
+    assert {(got[k]["split"], got[k]["origin"]) for k in "abc"} == {("kl_selection", "lock")}
+    assert {(got[k]["split"], got[k]["origin"]) for k in "gh"} == {(None, "conflict")}
+    assert (got["i"]["split"], got["i"]["origin"]) == ("sft_validation", "lock")
+    assert all(got[k]["origin"] == "hash" and got[k]["split"] for k in "efjx")
