@@ -127,3 +127,31 @@ def plateau(losses: Iterable[tuple[int, float]], window: int, min_steps: int, mi
         else:
             bad += 1
         yield step, smoothed, best, bad, bad >= patience
+
+
+def bracket_spans(c: Column, opening: int, closing: int) -> Column:
+    """[start, end) of every outermost bracketed run of tokens, from 0; an open one goes to the end, and a closing bracket
+    without an opening one counts for nothing."""
+    marks = F.filter(F.transform(c, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda m: m.x.isin(opening, closing))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(s: Column, m: Column) -> Column:
+        depth = F.when(m.x == opening, s.depth + 1).otherwise(F.greatest(s.depth - 1, F.lit(0)))
+        first = F.when((m.x == opening) & (s.depth == 0), m.i).otherwise(s.first)
+        ends = (m.x == closing) & (s.depth == 1)
+        spans = F.when(ends, F.concat(s.spans, F.array(F.struct(s.first.alias("start"), (m.i + 1).alias("end"))))).otherwise(s.spans)
+        return F.struct(depth.alias("depth"), first.alias("first"), spans.alias("spans"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("first"), none.alias("spans"))
+    rest = lambda s: F.when(s.depth > 0, F.concat(s.spans, F.array(F.struct(s.first.alias("start"), F.size(c).alias("end"))))).otherwise(s.spans)
+    return F.aggregate(marks, zero, step, rest)
+
+
+def truncated(c: Column, spans: Column, payloads: Column, limit: int) -> Column:
+    """(c, spans, payloads) of a row cut to `limit` tokens, at the start of a span that the cut would fall into. Spans that
+    end past the cutoff go, and with them their payloads, one for each span. Spans are taken from the last one back, so
+    those of several kinds may overlap."""
+    back = F.reverse(F.array_sort(spans))
+    cutoff = F.when(F.size(c) <= limit, F.size(c)).otherwise(F.aggregate(back, F.lit(limit), lambda at, s: F.when((s.start < at) & (at < s.end), s.start).otherwise(at)))
+    whole = F.filter(F.arrays_zip(spans.alias("span"), payloads.alias("payload")), lambda z: z.span.end <= cutoff)
+    return F.struct(F.slice(c, F.lit(1), cutoff).alias("c"), F.transform(whole, lambda z: z.span).alias("spans"), F.transform(whole, lambda z: z.payload).alias("payloads"))

@@ -121,11 +121,22 @@ def gate_g15_skip_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select sample_id, len(c) as n, len(c[1:48]) as kept, len(list_filter(c[1:48], lambda x: x = 8239)) as narrow, least(len(c), 48) < len(c) as cut from {_ROWS}""")
 def rows_p22_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows cut at 48 tokens."""
+    """Rows cut at 48 tokens, spans or not, as the SQL has it."""
     head = F.slice("c", 1, 48)
     return rows(spark, sf_dir).select("sample_id", F.size("c").cast("long").alias("n"), F.size(head).cast("long").alias("kept"), F.size(F.filter(head, lambda x: x == 8239)).cast("long").alias("narrow"), (F.size("c") > 48).alias("cut"))
 
 
+@query()
+def rows_p22_span_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows cut at 48 tokens, but never inside a span; payloads of spans past the cutoff are dropped. The tables hold no
+    media, so bracketed tokens stand for spans, as in P23, and the tokens of a span for its payload."""
+    c = F.col("c")
+    held = rows(spark, sf_dir).select("sample_id", "c", sequence.bracket_spans(c, 40, 41).alias("spans"))
+    held = held.withColumn("payloads", F.transform("spans", lambda s: F.slice(c, s.start + 1, s.end - s.start)))
+    cut = held.withColumn("r", sequence.truncated(c, F.col("spans"), F.col("payloads"), 48))
+    return cut.select("sample_id", F.size(c).cast("long").alias("n"), F.size("r.c").cast("long").alias("kept"), F.size("spans").cast("long").alias("n_spans"), F.size("r.spans").cast("long").alias("kept_spans"), F.size(F.flatten("r.payloads")).cast("long").alias("payload_tokens"), (F.size(c) > F.size("r.c")).alias("cut"))
+
+
 @query(rf"""with e as (select sample_id, unnest(c) as x, unnest(generate_series(1, len(c))) as i from {_ROWS}), d as (select *, sum(case when x = 40 then 1 else 0 end) over w as opened, sum(case when x = 41 then 1 else 0 end) over w as closed from e window w as (partition by sample_id order by i))
     select sample_id, count(*) filter (opened > closed or (x = 41 and opened >= closed and opened > 0)) as masked, count(*) as n from d group by sample_id""")
 def rows_p23_span_mask(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -381,3 +381,19 @@ def test_components_by_pixel_and_cluster_and_locks(spark, tmp_path):
     assert {(got[k]["split"], got[k]["origin"]) for k in "gh"} == {(None, "conflict")}
     assert (got["i"]["split"], got["i"]["origin"]) == ("sft_validation", "lock")
     assert all(got[k]["origin"] == "hash" and got[k]["split"] for k in "efjx")
+
+
+def test_truncation_spares_spans(spark):
+    rows = [([0, 40, 1, 41, 2, 40, 3, 4, 41, 5], 7), ([0, 40, 1, 41], 4), ([0, 40, 1, 41, 2], 4), ([40, 1, 2, 3], 2), ([41, 1, 40, 40, 2, 41, 3, 41, 4], 6), ([0, 1, 2], 2)]
+    want = [([0, 40, 1, 41, 2], [(1, 4)]), ([0, 40, 1, 41], [(1, 4)]), ([0, 40, 1, 41], [(1, 4)]), ([], []), ([41, 1], []), ([0, 1], [])]
+    for (c, limit), (kept, spans) in zip(rows, want):
+        df = spark.createDataFrame([(c,)], "c array<int>").withColumn("s", sequence.bracket_spans(F.col("c"), 40, 41))
+        payloads = F.transform("s", lambda s: s.start)
+        r = df.select(sequence.truncated(F.col("c"), F.col("s"), payloads, limit).alias("r")).first()["r"]
+        assert (r["c"], [tuple(s) for s in r["spans"]], r["payloads"]) == (kept, spans, [s for s, _ in spans])
+
+
+def test_truncation_of_overlapping_spans(spark):
+    df = spark.createDataFrame([(list(range(12)), [(2, 5), (4, 9)], ["a", "b"])], "c array<int>, s array<struct<start:int,end:int>>, p array<string>")
+    r = df.select(sequence.truncated(F.col("c"), F.col("s"), F.col("p"), 8).alias("r")).first()["r"]
+    assert (r["c"], r["spans"], r["payloads"]) == ([0, 1], [], [])
