@@ -1,11 +1,11 @@
 """Per-document text quality, and whether a text is natural prose.
 
 A text is read as lines. Rows of cells are found where the same delimiter divides many lines into equally many cells
-(vertical alignment), list entries by their markers, leaders, page numbers, separators and the period of their
-indentation; short lines of alike length (autocorrelation) without sentence ends count as entries too. What is left is
-running text, cut into sentences. The prose share is the share of all printed characters that lie in distinct sentences
+(vertical alignment), list entries by their markers, leaders, page numbers and separators. What is left is running text,
+cut into sentences. The prose share is the share of all printed characters that lie in distinct sentences
 which read like language: ended, of several words, some of them common words. A text is prose if that is at least half,
-unless most of its words are broken by symbols. Everything is one narrow pass over Arrow batches, without a shuffle.
+unless three in ten of its words are broken by symbols. The period of indentation and the autocorrelation of line lengths
+only tell lists from junk among what is no prose: wrapped prose has lines of alike length too. Everything is one narrow pass over Arrow batches, without a shuffle.
 """
 
 from __future__ import annotations
