@@ -5,12 +5,12 @@ array of code points, no regular expression per word). Distinct words that were
 merge rounds (`encode_words`): the symbols of all words lie in one flat array; each round looks the keys of all adjacent
 pairs up by binary search in the sorted pair keys, takes the lowest rank of each word, and merges every occurrence of
 that pair from the left. A round merges all occurrences at once because a pair that a merge creates always has a higher
-rank than the merge itself. Words without a known pair leave the array.
+rank than the merge itself. Words without a known pair leave the array. A word of very many bytes goes through the same
+rounds in an array of its own, in which a round looks up only the pairs that the round before has changed.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -19,7 +19,7 @@ import numpy as np
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 NONE = np.int32(2**31 - 1)
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
-#: Words of more bytes are merged one by one with a heap: their many rounds would each touch the whole word.
+#: Words of more bytes have an array of their own: their many rounds would each look up all pairs of the whole batch.
 LONG_WORD = 2048
 #: Words kept with their ids in a worker; beyond, the cache starts anew. It bounds memory and changes no result.
 CACHE_WORDS = 1_000_000
@@ -62,6 +62,8 @@ class ByteBpe:
         for name, byte in names.items():
             self.byte_ids[byte] = vocab[name]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if max(vocab.values()) >= 1 << 16:
+            raise ValueError(f"{path}: pair keys hold token ids of 16 bits")
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
         made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         order = np.argsort(keys)
@@ -135,7 +137,10 @@ class ByteBpe:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the offsets of the words in it."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        return self.encode_bytes([w.encode("utf-8", "surrogatepass") for w in words])
+
+    def encode_bytes(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words given by their bytes."""
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         long = np.flatnonzero(lengths > LONG_WORD)
         done = [(np.full(len(ids), k, np.int64), ids) for k in long.tolist() for ids in [self._encode_long(raw[k])]]
@@ -168,38 +173,49 @@ class ByteBpe:
             keep[here + 1] = False
             symbols, owner = symbols[keep], owner[keep]
         if not done:
-            return np.zeros(0, np.int32), np.zeros(len(words) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(raw) + 1, np.int64)
         owners, ids = np.concatenate([o for o, _ in done]), np.concatenate([i for _, i in done])
-        counts = np.bincount(owners, minlength=len(words))
+        counts = np.bincount(owners, minlength=len(raw))
         return ids[np.argsort(owners, kind="stable")].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
-    def _encode_long(self, raw: bytes) -> np.ndarray:
-        """One very long word: the same merges, lowest rank and leftmost first, from a heap over a linked list."""
-        symbols = self.byte_ids[np.frombuffer(raw, np.uint8)].tolist()
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        table = self.pair_table()
-        heap = [(*table[key], k, key) for k in range(n - 1) if (key := symbols[k] << 16 | symbols[k + 1]) in table]
-        heapq.heapify(heap)
-        while heap:
-            _, made, k, key = heapq.heappop(heap)
-            right = after[k]
-            if symbols[k] < 0 or right < 0 or symbols[k] << 16 | symbols[right] != key:
-                continue
-            symbols[k], symbols[right] = made, -1
-            after[k] = after[right]
-            if after[k] >= 0:
-                before[after[k]] = k
-            for a, b in ((before[k], k), (k, after[k])):
-                if a >= 0 and b >= 0 and (new := symbols[a] << 16 | symbols[b]) in table:
-                    heapq.heappush(heap, (*table[new], a, new))
-        return np.array([s for s in symbols if s >= 0], np.int32)
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols, NONE if it is none, and its place among the pair keys."""
+        at = self.lookup((left.astype(np.int64) << 16) | right)
+        return np.where(at >= 0, self.ranks[at], NONE), at
 
-    def pair_table(self) -> dict[int, tuple[int, int]]:
-        """Rank and merged token of every pair key."""
-        if not hasattr(self, "_table"):
-            self._table = {k: (r, m) for k, r, m in zip(self.keys.tolist(), self.ranks.tolist(), self.made.tolist())}
-        return self._table
+    def _encode_long(self, raw: bytes) -> np.ndarray:
+        """The merge rounds of one word. Symbols that a merge swallows stay as gaps, with `after` and `before` around them,
+        until half of the array is gaps; only pairs next to a merge are looked up again."""
+        symbols = self.byte_ids[np.frombuffer(raw, np.uint8)]
+        while True:
+            n = len(symbols)
+            after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+            rank, at = np.full(n, NONE), np.full(n, -1, np.int64)
+            rank[: n - 1], at[: n - 1] = self._ranks(symbols[:-1], symbols[1:])
+            gaps = np.zeros(n, bool)
+            held = n
+            while 2 * held > n or n < 64:
+                lowest = rank.min()
+                if lowest == NONE:
+                    return symbols[~gaps].astype(np.int32)
+                here = np.flatnonzero(rank == lowest)
+                # of pairs that overlap every other one is merged, from the left
+                new_run = np.concatenate([[True], after[here[:-1]] != here[1:]])
+                in_run = np.arange(len(here)) - np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
+                here = here[in_run % 2 == 0]
+                gone = after[here]
+                symbols[here] = self.made[at[here]]
+                gaps[gone], rank[gone] = True, NONE
+                after[here] = after[gone]
+                follows = after[here]
+                before[follows[follows < n]] = here[follows < n]
+                held -= len(here)
+                changed = np.concatenate([here, before[here]])
+                changed = np.unique(changed[changed >= 0])
+                rank[changed] = NONE
+                changed = changed[after[changed] < n]
+                rank[changed], at[changed] = self._ranks(symbols[changed], symbols[after[changed]])
+            symbols = symbols[~gaps]
 
     def _learn(self, words: Iterable[str]) -> None:
         new = [w for w in set(words) if w not in self.index]

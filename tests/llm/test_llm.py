@@ -67,9 +67,18 @@ def test_decoding_restores_texts(spark):
 def test_prefix_states_count_like_the_encoder(model):
     words, _ = model.split_words([t for t in some_texts(600) if t])
     words = sorted({w.encode() for w in words} | {b"a" * k for k in range(1, 40)})
-    states = budget.PrefixStates(model)
+    rng = random.Random(4)
+    words = sorted({*words, *("".join(rng.choice("abet ᠣᠤ") for _ in range(rng.randint(1, 400))).encode() for _ in range(300))})
+    states = budget.PrefixStates(model, budget.Automaton(model))
     _, offsets = model.encode_words([w.decode() for w in words])
-    assert [states.tokens(w) for w in words] == (offsets[1:] - offsets[:-1]).tolist()
+    for size in (7, len(words)):
+        assert [n for k in range(0, len(words), size) for n in states.tokens(words[k : k + size])] == (offsets[1:] - offsets[:-1]).tolist()
+
+
+def test_tokens_of_documents_are_those_of_the_encoder(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    encoded = encode.encode_texts(documents).select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+    assert encoded.exceptAll(budget.document_tokens(documents)).isEmpty()
 
 
 def test_document_tokens_and_budget(spark, model):
@@ -80,6 +89,10 @@ def test_document_tokens_and_budget(spark, model):
     want[0] += model.count(["twice"])[0]
     got = {r["doc_id"]: r["n_tokens"] for r in budget.document_tokens(df).collect()}
     assert got == want
+    unnamed = spark.createDataFrame([(None, "no key", "en", "s1", None), (None, "the", "en", "s1", None)], df.schema)
+    want[None] = int(model.count(["no key", "the"]).sum())
+    assert {r["doc_id"]: r["n_tokens"] for r in budget.document_tokens(df.union(unnamed)).collect()} == want
+    df = df.union(unnamed)
     slices = {(r["slice"], r["value"]): r["n_tokens"] for r in budget.token_budget(df).collect()}
     assert slices[("all", None)] == sum(want.values()) == slices[("lang", "en")]
     assert budget.document_tokens(df.limit(0)).count() == 0
