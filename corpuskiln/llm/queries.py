@@ -11,7 +11,7 @@ from .budget import audit_estimates, document_tokens, token_budget
 from .encode import encode_texts
 from .mixing import mix_documents, plan_runs
 from .normalize import look_alike_pairs, normalize_texts, transcriptions
-from .packing import pack_documents, packing_report
+from .packing import pack_documents, packed_sources, packing_report
 from .quality import no_prose, quality_statistics
 from .sampling import draw_samples
 from .splits import assign_splits, related_groups, split_report
@@ -99,8 +99,13 @@ def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins and unused room of every kind."""
-    return packing_report(p7_bins(spark, sf_dir))
+    """Bins, unused room and distance from the mixture of every kind."""
+    return packing_report(p7_bins(spark, sf_dir), table(spark, sf_dir, "mix_sources"))
+
+
+def p7_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and bins of every source, against its target share."""
+    return packed_sources(p7_bins(spark, sf_dir), table(spark, sf_dir, "mix_sources"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +136,7 @@ QUERIES: dict[str, Query] = {
     "p6_ids": p6_ids,
     "p7_bins": p7_bins,
     "p7_report": p7_report,
+    "p7_sources": p7_sources,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
 }

@@ -280,15 +280,41 @@ def test_packing_is_whole_and_within_capacity(spark, model):
 
 
 def test_bins_follow_the_mixture():
-    queues = packing.Queues({"a": 0.75, "b": 0.25}, {"a": 0.0, "b": 0.0})
+    queues = packing.Queues({"a": 0.75, "b": 0.25}, {"a": 0.0, "b": 0.0}, 400)
     for k in range(300):
-        queues.put("a", 10, k)
+        queues.put("a", 10, ("a", k))
         if k % 3 == 0:
-            queues.put("b", 10, k)
-    for _ in range(9):
-        chosen = queues.fill(400)
+            queues.put("b", 10, ("b", k))
+    filled = list(queues.bins())
+    for chosen in filled[:-1]:
         assert sum(size for _, size in chosen) == 400
-        assert abs(queues.behind["a"]) <= 20 and abs(queues.behind["b"]) <= 20
+        assert 8 <= sum(s == "b" for (s, _), _ in chosen) <= 12
+    assert sum(map(len, filled)) == 400
+
+
+@pytest.mark.parametrize("part_items", [20_000, 60])
+def test_bins_are_nearer_to_the_mixture_than_by_chance(spark, sf_dir, model, part_items):
+    """Real documents, in one packing partition and in several, against the same pieces in random order."""
+    documents, sources = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "mix_sources"))
+    bins = spark.createDataFrame([("b", 8192)], "bin_kind string, capacity_tokens int")
+    packed = packing.pack_documents(documents, bins, sources, part_items=part_items)
+    report = packing.packing_report(packed, sources).first()
+    shares = {r["source"]: r["target_share"] for r in packing.packed_sources(packed, sources).collect()}
+    assert sum(shares.values()) == pytest.approx(1)
+    rows = packed.select("source", "n_tokens").collect()
+    rng, chance = random.Random(1), []
+    for _ in range(5):
+        rng.shuffle(rows)
+        room, held, apart = 8192, collections.Counter(), []
+        for source, n in [*rows, (None, 8193)]:
+            if n > room:
+                apart.append(1 - sum(min(x / held.total(), shares[s]) for s, x in held.items()))
+                room, held = 8192, collections.Counter()
+            room -= n
+            held[source] += n
+        chance.append(sum(apart) / len(apart))
+    assert report["supply_deviation"] <= report["deviation"] < sum(chance) / 5
+    assert report["n_tokens"] == sum(n for _, n in rows)
 
 
 # 8
