@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        stars = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), instead_of=stars)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == signature:
             break

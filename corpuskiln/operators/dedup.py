@@ -104,7 +104,7 @@ def first_independent(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) ->
         before = edges.join(now.select(F.col("node").alias("earlier"), F.col("kept").alias("was")), "earlier")
         seen = before.groupBy("node").agg(F.max(F.coalesce("was", F.lit(False))).alias("hit"), F.count_if(F.col("was").isNull()).alias("waiting"))
         verdict = F.when(F.col("hit"), False).when(F.coalesce("waiting", F.lit(0)) == 0, True)
-        now = staged(now.join(seen, "node", "left").select("node", F.coalesce("kept", verdict).alias("kept")))
+        now = staged(now.join(seen, "node", "left").select("node", F.coalesce("kept", verdict).alias("kept")), instead_of=now)
         if now.where("kept is null").isEmpty():
             return now
     raise RuntimeError(f"not decided in {rounds} rounds")

@@ -27,24 +27,35 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session. Only where that is unset (tests, one
-    machine) a temporary folder is made and kept for the session."""
+    """The folder that all executors share: spark.checkpoint.dir of the session. Only where that is unset and the master is
+    this machine (tests) a temporary folder is made and kept for the session; on a cluster it must be set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        known = given.get() if given.isDefined() else f"file://{tempfile.mkdtemp(prefix='corpuskiln-')}"
-        if not given.isDefined():
+        if given.isDefined():
+            known = given.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            known = f"file://{tempfile.mkdtemp(prefix='corpuskiln-')}"
             spark.sparkContext.setCheckpointDir(known)
+        else:
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     return known.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as a Parquet table into the shared folder and read it back. Cuts the lineage like a reliable checkpoint,
-    survives lost executors, and gives later joins exact sizes."""
+    survives lost executors, and gives later joins exact sizes. `instead_of` is a staged table of the round before, of
+    which nothing is read any more: it is deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged = path
+    old = getattr(instead_of, "_staged", None)
+    if old:
+        place = spark._jvm.org.apache.hadoop.fs.Path(old)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return table
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
