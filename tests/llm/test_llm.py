@@ -256,6 +256,19 @@ def test_draws_hold_their_quotas(spark):
     assert sampling.draw_samples(samples.limit(0), targets)[0].isEmpty()
 
 
+def test_reservoirs_that_are_too_small_are_filled_again(spark):
+    """Without slack partitions drop what a quota needs; the draw is the same nevertheless, the records of lowest priority."""
+    rows = [(f"s{k}", "ab"[k % 3 == 0], "print", None, None) for k in range(3000)]
+    samples = spark.createDataFrame(rows, "sample_id string, quota_buckets string, style string, difficulty string, updated_at timestamp_ntz")
+    targets = spark.createDataFrame([("d", "a", 0.1, 0, 1.0), ("d", "b", 0.2, 0, 1.0), ("e", "a", 0.1, 7, 0.1)], "draw_id string, quota_bucket string, target_share double, min_rows int, draw_fraction double")
+    tight, loose = (sampling.draw_samples(samples, targets, slack=s)[0] for s in (0.01, 50.0))
+    assert tight.exceptAll(loose).isEmpty() and loose.exceptAll(tight).isEmpty()
+    held = collections.Counter((r["draw_id"], r["quota_bucket"]) for r in tight.collect())
+    assert held == {("d", "a"): 300, ("d", "b"): 600, ("e", "a"): 30}
+    first = samples.where("quota_buckets = 'a'").select("sample_id").orderBy(F.xxhash64(F.lit(11), "sample_id")).limit(300)
+    assert first.exceptAll(tight.where("draw_id = 'd' and quota_bucket = 'a'").select("sample_id")).isEmpty()
+
+
 # 7
 
 
