@@ -3,10 +3,12 @@
 Each source asks for a number of tokens; each unit (a document, or a whole source of a planned run) gets a rate, how
 often it is repeated on average, between 0 and the cap. Of all rates that give every source its tokens the closest to 1
 (in relative entropy) are exponentially tilted: rate = exp(lambda * size / mean size), cut at the cap. The dual is convex
-and one lambda for each source solves it: Newton steps on the logarithm of the tokens, guarded by a bracket, run as
+and one lambda for each source solves it: Newton steps from 0 on the logarithm of the tokens, guarded by a bracket, run as
 aggregations over all units at once. Units of one source and size are exchangeable and are counted together first, so a
 step reads sizes, not documents. A source whose target is more than the cap times its size has no solution: its dual
-is unbounded, its rates are the cap, and the report says so.
+is unbounded. The steps then drive all its rates to the cap while the target stays ahead; it is reported as exhausted.
+Rates are rounded to copies systematically along the sizes of a source, so that its tokens miss the target by about one
+document. What exhausted sources leave of the budget is handed to the others in proportion to their weights.
 """
 
 from __future__ import annotations
@@ -20,7 +22,12 @@ from .encode import count_tokens
 
 #: Repetitions of a record at most, where nothing else is said.
 MAX_EPOCHS = 4.0
-TOLERANCE = 1e-9
+#: Relative gap between tokens and target at which a source is solved at once, and at the end of the bracket.
+TOLERANCE, LOOSE = 1e-9, 1e-6
+#: Sources of a manifest at most: their weights and sizes are known to the driver.
+SOURCES = 10_000
+#: Documents of a source whose rounding is one stretch.
+STRETCH = 500_000
 
 
 def measured_size() -> Column:
@@ -37,22 +44,23 @@ def once(stats: DataFrame) -> DataFrame:
     return last.select("run_id", "source", *(F.col(f"_row.{c}").alias(c) for c in rest))
 
 
-def balance(units: DataFrame, asked: DataFrame, keys: list[str], rounds: int = 60) -> DataFrame:
+def balance(units: DataFrame, asked: DataFrame, keys: list[str], rounds: int = 80) -> DataFrame:
     """The dual solution of every source of `asked` (`keys`, target, cap), for `units` (`keys`, size).
 
-    Columns: keys, target, cap, available (tokens of its units), mean (size), lam, state: `solved`, `exhausted` (the
-    target is above the cap times what is available: all rates are the cap) or `empty` (nothing is asked, or nothing is
-    there). Units of unknown sources, null sizes and sizes not above 0 count for nothing; a null target is 0.
+    Columns: keys, target, cap, available (tokens of its units), n_units, mean (size), lam, gap, state: `solved`,
+    `exhausted` (the target is above the cap times what is available: all rates are the cap), `empty` (nothing is asked)
+    or `unsolved` (not within LOOSE of the target after all rounds). `gap` is the expected tokens over the target, less 1.
+    Units of unknown sources, null sizes and sizes not above 0 count for nothing; a null target is 0.
     """
     held = staged(units.where("size > 0").groupBy(*keys, "size").agg(F.count("*").alias("n")))
-    sums = held.groupBy(*keys).agg(F.sum(F.col("n") * F.col("size")).alias("available"), F.sum("n").alias("_units"))
-    reach = F.col("cap") * F.col("available")
-    start = asked.withColumn("target", F.coalesce("target", F.lit(0.0))).join(sums, keys, "left").na.fill(0.0, ["available"]).na.fill(0, ["_units"])
-    start = start.withColumn("mean", F.when(F.col("_units") > 0, F.col("available") / F.col("_units")))
-    state = F.when(F.col("target") <= 0, "empty").when(F.col("target") > reach, "exhausted").when(F.col("available") <= 0, "empty").otherwise("open")
-    start = start.withColumn("state", state).withColumn("lam", F.when(F.col("state") == "open", F.log(F.col("target") / F.col("available"))))
-    now = staged(start.withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)).drop("_units"))
+    sums = held.groupBy(*keys).agg(F.sum(F.col("n") * F.col("size")).alias("available"), F.sum("n").alias("n_units"))
+    start = asked.withColumn("target", F.coalesce("target", F.lit(0.0))).join(sums, keys, "left").na.fill(0.0, ["available"]).na.fill(0, ["n_units"])
+    start = start.withColumn("mean", F.when(F.col("n_units") > 0, F.col("available") / F.col("n_units")))
+    state = F.when(F.col("target") <= 0, "empty").when(F.col("n_units") == 0, "exhausted").otherwise("open")
+    start = start.withColumn("state", state).withColumn("lam", F.when(F.col("state") == "open", 0.0)).withColumn("gap", F.when(F.col("state") == "exhausted", -1.0))
+    now = staged(start.withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)))
     rate = tilted(F.col("lam"), F.col("size"), F.col("mean"), F.col("cap"))
+    target, reach = F.col("target"), F.col("cap") * F.col("available")
     for _ in range(rounds):
         at_work = now.where("state = 'open'")
         if at_work.isEmpty():
@@ -60,18 +68,23 @@ def balance(units: DataFrame, asked: DataFrame, keys: list[str], rounds: int = 6
         tokens = F.col("n") * F.col("size") * rate
         free = F.when(rate < F.col("cap"), tokens * F.col("size") / F.col("mean")).otherwise(0.0)
         step = held.join(at_work.select(*keys, "lam", "mean", "cap"), keys).groupBy(*keys).agg(F.sum(tokens).alias("_f"), F.sum(free).alias("_slope"))
-        gap = F.log("_f") - F.log("target")
-        lo = F.when(F.col("_f") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))
-        hi = F.when(F.col("_f") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))
-        newton = F.col("lam") - gap * F.col("_f") / F.when(F.col("_slope") > 0, F.col("_slope"))
+        lo = F.when(F.col("_f") < target, F.col("lam")).otherwise(F.col("lo"))
+        hi = F.when(F.col("_f") > target, F.col("lam")).otherwise(F.col("hi"))
+        newton = F.col("lam") - (F.log("_f") - F.log(target)) * F.col("_f") / F.when(F.col("_slope") > 0, F.col("_slope"))
         middle = (F.col("_lo") + F.col("_hi")) / 2
-        done = F.abs(F.col("_f") - F.col("target")) <= TOLERANCE * F.col("target")
-        moved = now.join(step, keys, "left").withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_done", (F.col("state") == "open") & (done | (F.col("_hi") - F.col("_lo") < 1e-14)))
+        moved = now.join(step, keys, "left").withColumn("_lo", lo).withColumn("_hi", hi).withColumn("gap", F.when(F.col("state") == "open", F.col("_f") / target - 1).otherwise(F.col("gap")))
+        near, closed = F.abs("gap") <= TOLERANCE, F.col("_hi") - F.col("_lo") < 1e-14
+        # every rate is at the cap and the target is still ahead: the dual grows without bound. The comparison with the
+        # reach tells a target that is met by the last digit from one that is not
+        at_cap = (F.col("_slope") == 0) & (F.col("gap") < 0)
+        after = F.when(near | at_cap | closed, F.when(target > reach, "exhausted").when(near | at_cap | (F.abs("gap") <= LOOSE), "solved").otherwise("unsolved")).otherwise("open")
+        moved = moved.withColumn("_after", F.when(F.col("state") == "open", after).otherwise(F.col("state")))
         inside = (newton > F.col("_lo")) & (newton < F.col("_hi"))
-        lam = F.when((F.col("state") != "open") | F.col("_done"), F.col("lam")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(middle)
-        moved = moved.withColumn("lam", lam).withColumn("state", F.when(F.col("_done"), "solved").otherwise(F.col("state")))
-        now = staged(moved.withColumn("lo", F.col("_lo")).withColumn("hi", F.col("_hi")).select(*now.columns))
-    return now.withColumn("state", F.when(F.col("state") == "open", "solved").otherwise(F.col("state"))).drop("lo", "hi")
+        lam = F.when(F.col("_after") != "open", F.col("lam")).when(F.coalesce(inside, F.lit(False)), newton).otherwise(middle)
+        moved = moved.withColumn("lam", lam).withColumn("state", F.col("_after"))
+        now = staged(moved.withColumn("lo", F.col("_lo")).withColumn("hi", F.col("_hi")).select(*now.columns), instead_of=now)
+    rest = F.when((F.col("state") == "open") & (F.abs("gap") <= LOOSE), "solved").when(F.col("state") == "open", "unsolved").otherwise(F.col("state"))
+    return now.withColumn("state", rest).drop("lo", "hi")
 
 
 def tilted(lam: Column, size: Column, mean: Column, cap: Column) -> Column:
@@ -111,33 +124,71 @@ def plan_runs(stats: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def fill_targets(sources: list[tuple[str, float, float]], budget: float, cap: float) -> dict[str, float]:
+    """Tokens asked of each (source, share, available): its share of the budget, but where that is beyond its cap, what the
+    cap allows; what is left over goes to the others in proportion to their shares, until it is placed or all are at
+    their caps."""
+    given: dict[str, float] = {}
+    open_ = {s: (share, cap * held) for s, share, held in sources}
+    left = budget
+    while open_:
+        whole = sum(share for share, _ in open_.values())
+        if whole <= 0 or left <= 0:
+            break
+        full = {s for s, (share, reach) in open_.items() if share / whole * left > reach}
+        if not full:
+            return given | {s: share / whole * left for s, (share, _) in open_.items()}
+        for s in full:
+            given[s] = open_.pop(s)[1]
+            left -= given[s]
+    return given | dict.fromkeys(open_, 0.0)
+
+
 def mix_documents(documents: DataFrame, sources: DataFrame, cap: float = MAX_EPOCHS, total_tokens: float | None = None, seed: int = 17, key: str = "doc_id", tokenizer: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mix of the documents of all sources of the manifest, and the report of its shares.
 
-    The mix has (`key`, source, n_tokens, rate, copies): copies is the rate rounded down or up, up with the chance of its
-    fraction by a hash of the key, and at most the cap. The report has a row for each source of the manifest: weight,
-    target_share, target_tokens, available_tokens, mixed_tokens, actual_share, repeat_factor and state (see `balance`).
-    A null weight is 1. The budget is the tokens of all documents of the manifest's sources unless `total_tokens` is
-    given. Documents of other or null sources are in no mix; null and empty texts have 0 tokens and are kept once where
-    their source is asked for. Rows that repeat are mixed each.
+    The mix has (`key`, source, n_tokens, rate, copies): copies is the rate rounded down or up. The fractions of the rates
+    are added up along the sizes of a source, in stretches of about STRETCH documents by hash; a document is rounded up
+    where the sum passes a whole number, of documents of one size those with the lowest hash of the key. The report has a
+    row for each source of the manifest: weight, target_share, target_tokens (its share of the budget), filled_tokens
+    (with what exhausted sources leave over), available_tokens, mixed_tokens, actual_share, repeat_factor, gap (of the
+    solution, to filled_tokens) and state: exhausted where target_tokens is beyond the cap, else that of `balance`. A null
+    weight is 1. The budget is the tokens of all documents of the manifest's sources unless `total_tokens` is given.
+    Documents of other or null sources are in no mix; null and empty texts have 0 tokens and are kept once where their
+    source is asked for. Rows that repeat are mixed each. More than SOURCES sources raise.
     """
+    spark = documents.sparkSession
     manifest = sources.where("source is not null").groupBy("source").agg(F.max(F.coalesce("weight", F.lit(1.0))).alias("weight"))
-    sized = count_tokens(documents.where("source is not null"), keep=(key, "source")).select(F.col(key), "source", F.col("n_tokens").cast("double").alias("size"))
+    sized = count_tokens(documents.where("source is not null"), keep=(key, "source"), tokenizer=tokenizer).select(F.col(key), "source", F.col("n_tokens").cast("double").alias("size"))
     sized = staged(sized)
-    sums = manifest.join(sized.groupBy("source").agg(F.sum("size").alias("available")), "source", "left").agg(F.sum("weight").alias("w"), F.sum("available").alias("t")).first()
-    weights, budget = sums["w"] or 1.0, total_tokens if total_tokens is not None else (sums["t"] or 0.0)
-    asked = manifest.select("source", "weight", (F.col("weight") / weights).alias("target_share"), (F.col("weight") / weights * budget).alias("target"), F.lit(float(cap)).alias("cap"))
-    solved = balance(sized.select("source", "size"), asked.select("source", "target", "cap"), ["source"])
-    rate = rate_of(F.col("size"))
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**53)) / 2.0**53
-    rated = sized.join(solved, "source").withColumn("rate", rate)
-    mix = rated.select(key, "source", F.col("size").cast("long").alias("n_tokens"), "rate", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int").alias("copies"))
+    known = manifest.join(sized.groupBy("source").agg(F.sum("size").alias("available")), "source", "left").na.fill(0.0, ["available"]).limit(SOURCES + 1).collect()
+    if len(known) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    weights = sum(r["weight"] for r in known) or 1.0
+    budget = total_tokens if total_tokens is not None else float(sum(r["available"] for r in known))
+    filled = fill_targets(sorted((r["source"], r["weight"] / weights, r["available"]) for r in known), budget, cap)
+    rows = [(r["source"], float(r["weight"]), r["weight"] / weights, r["weight"] / weights * budget, float(filled[r["source"]]), float(cap)) for r in known]
+    asked = F.broadcast(spark.createDataFrame(rows, "source string, weight double, target_share double, target_tokens double, target double, cap double"))
+    solved = F.broadcast(balance(sized.select("source", "size"), asked.select("source", "target", "cap"), ["source"]))
+    draw = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
+    stretch = F.pmod(F.xxhash64(draw, F.lit("stretch")), F.greatest(F.ceil(F.col("n_units") / STRETCH), F.lit(1))).cast("int")
+    rated = sized.join(solved, "source").select(F.col(key), "source", "size", rate_of(F.col("size")).alias("rate"), draw.alias("_draw"), stretch.alias("_stretch"))
+    part = rated.select("source", "_stretch", "size", (F.col("rate") - F.floor("rate")).alias("_part")).groupBy("source", "_stretch", "size").agg(F.count("*").alias("_n"), F.first("_part").alias("_part"))
+    upto = F.sum(F.col("_n") * F.col("_part")).over(Window.partitionBy("source", "_stretch").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source", "_stretch"), F.lit(2**53)) / 2.0**53
+    # sums of fractions are rounded to 9 digits, so that a sum that is whole is taken for whole
+    passed = part.withColumn("_upto", upto).withColumn("_ups", (F.floor(F.round(F.col("_upto"), 9) + offset) - F.floor(F.round(F.col("_upto") - F.col("_n") * F.col("_part"), 9) + offset)))
+    ups = passed.select(F.col("source").alias("_s"), F.col("_stretch").alias("_t"), F.col("size").alias("_z"), "_ups")
+    rank = F.row_number().over(Window.partitionBy("source", "_stretch", "size").orderBy("_draw", F.col(key)))
+    numbered = rated.withColumn("_rank", rank).join(ups, (F.col("source") == F.col("_s")) & (F.col("_stretch") == F.col("_t")) & (F.col("size") == F.col("_z")))
+    mix = numbered.select(key, "source", F.col("size").cast("long").alias("n_tokens"), "rate", (F.floor("rate") + (F.col("_rank") <= F.col("_ups")).cast("int")).cast("int").alias("copies"))
     mixed = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"))
-    report = asked.select("source", "weight", "target_share").join(solved, "source").join(mixed, "source", "left").na.fill(0, ["mixed_tokens"])
+    report = asked.drop("cap").withColumnRenamed("target", "filled_tokens").join(solved.drop("target", "cap"), "source").join(mixed, "source", "left").na.fill(0, ["mixed_tokens"])
     # as many rows as the manifest has sources
     total = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(0)))
+    state = F.when((F.col("target_tokens") > 0) & (F.col("target_tokens") > F.col("available") * float(cap)), "exhausted").otherwise(F.col("state"))
     report = report.select(
-        "source", "weight", "target_share", F.col("target").alias("target_tokens"), F.col("available").alias("available_tokens"), "mixed_tokens",
-        F.when(total > 0, F.col("mixed_tokens") / total).otherwise(0.0).alias("actual_share"), F.when(F.col("available") > 0, F.col("mixed_tokens") / F.col("available")).otherwise(0.0).alias("repeat_factor"), "state",
+        "source", "weight", "target_share", "target_tokens", "filled_tokens", F.col("available").alias("available_tokens"), "mixed_tokens",
+        F.when(total > 0, F.col("mixed_tokens") / total).otherwise(0.0).alias("actual_share"), F.when(F.col("available") > 0, F.col("mixed_tokens") / F.col("available")).otherwise(0.0).alias("repeat_factor"), "gap", state.alias("state"),
     )
     return mix, report
