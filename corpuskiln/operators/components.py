@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     for _ in range(rounds):
         both = stars.union(stars.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), instead_of=stars)
