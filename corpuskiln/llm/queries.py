@@ -14,7 +14,7 @@ from .normalize import look_alike_pairs, normalize_texts, transcriptions
 from .packing import pack_documents, packed_sources, packing_report
 from .quality import no_prose, quality_statistics
 from .sampling import draw_samples
-from .splits import assign_splits, related_groups, split_report
+from .splits import assign_splits, split_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,7 +29,9 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return related_groups(table(spark, sf_dir, "sources")).where("sample_id <> group_id").select("group_id", "sample_id")
+    """Related samples, as the split search has them: each with its group."""
+    assigned = assign_splits(table(spark, sf_dir, "sources"), table(spark, sf_dir, "split_policy"))
+    return assigned.where("sample_id <> group_id").select("group_id", "sample_id")
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:

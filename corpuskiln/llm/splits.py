@@ -42,17 +42,20 @@ def related_groups(df: DataFrame, key: str = "sample_id", relations: tuple[str,
     groups of their own. Extra columns are not read; an empty table gives an empty table.
     """
     names = [identifier(F.col(f"`{c}`"), str(k)) for k, c in enumerate(relations)]
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.array_compact(F.array(*names)).alias("_ids")).distinct()
-    rows = rows.select("_key", "_ids", F.coalesce(F.try_element_at("_ids", F.lit(1)), F.concat(F.lit("key:"), "_key")).alias("_first"))
-    rows = staged(rows)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.array_compact(F.array(*names)).alias("_names"))
+    rows = rows.distinct().withColumn("_ids", F.transform("_names", lambda n: F.xxhash64(n)))
+    rows = staged(rows.withColumn("_first", F.try_element_at("_ids", F.lit(1))))
+    # nodes are 64-bit hashes of identifiers; should two identifiers share one, they are the identifiers themselves
+    named = rows.select(F.explode(F.arrays_zip("_ids", "_names")).alias("n")).groupBy("n._ids").agg(F.min("n._names").alias("low"), F.max("n._names").alias("high"))
+    if not named.where("low <> high").isEmpty():
+        rows = rows.withColumn("_ids", F.col("_names")).withColumn("_first", F.try_element_at("_names", F.lit(1)))
     inside = rows.where("size(_ids) > 1").select(F.col("_first").alias("a"), F.explode(F.slice("_ids", 2, len(relations))).alias("b"))
-    many = rows.groupBy("_key").agg(F.min("_first").alias("a"), F.max("_first").alias("_last")).where("a <> _last").select("_key", "a")
-    across = rows.join(many, "_key").select("a", F.col("_first").alias("b"))
-    alone = rows.select(F.col("_first").alias("a"), F.col("_first").alias("b")).distinct()
-    roots = connected_components(inside.distinct().union(across.distinct()).union(alone))
-    rooted = staged(rows.select("_key", "_first").join(roots, F.col("_first") == F.col("node")).select("_key", "root").distinct())
-    least = rooted.groupBy("root").agg(F.min("_key").alias("group_id"))
-    return rooted.join(least, "root").select(F.col("_key").alias(key), "group_id")
+    keys = staged(rows.groupBy("_key").agg(F.min("_first").alias("a"), F.max("_first").alias("_last")))
+    across = rows.join(keys.where("a <> _last").select("_key", "a"), "_key").select("a", F.col("_first").alias("b"))
+    roots = connected_components(inside.union(across))
+    rooted = staged(keys.select("_key", "a").join(roots, F.col("a") == F.col("node"), "left").select("_key", F.coalesce("root", "a").alias("root")))
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("_key").alias("_least"))
+    return rooted.join(least, "root", "left").select(F.col("_key").alias(key), F.coalesce("_least", "_key").alias("group_id"))
 
 
 def label_of(style: Column, difficulty: Column) -> Column:
