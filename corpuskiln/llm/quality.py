@@ -1,11 +1,20 @@
 """Per-document text quality, and whether a text is natural prose.
 
-A text is read as lines. Rows of cells are found where the same delimiter divides many lines into equally many cells
-(vertical alignment), list entries by their markers, leaders, page numbers and separators. What is left is running text,
-cut into sentences. The prose share is the share of all printed characters that lie in distinct sentences
-which read like language: ended, of several words, some of them common words. A text is prose if that is at least half,
-unless three in ten of its words are broken by symbols. The period of indentation and the autocorrelation of line lengths
-only tell lists from junk among what is no prose: wrapped prose has lines of alike length too. Everything is one narrow pass over Arrow batches, without a shuffle.
+A text is read as lines. Three detectors set lines apart as rows or entries before anything is called prose:
+
+- vertical alignment: the same delimiter divides many lines into equally many cells or stands in the same columns of them
+  (rows), or the same kind of mark stands at the right edge of most of them, as page numbers or separators do (entries);
+- indentation: what stands before the first letter of a line, white space, bullets or numbers, is as wide again and again
+  at the same distance (entries);
+- line lengths: lines in which hardly a sentence ends, and whose lengths are alike or return periodically by their
+  autocorrelation (entries); wrapped prose has lines of alike length too, but sentences that end in them.
+
+What is left is running text, cut into sentences. The prose share is the share of all printed characters that lie in
+distinct sentences which read like language: ended, and of several words; of an entry more words are asked. A text is prose
+if that is at least half and its characters are in order: less than three in ten of its words are broken by symbols, and
+its punctuation marks do not stand before letters or after gaps as if they were strewn, unless its words are common ones.
+Common words are those of the corpus itself, by document frequency in each script. No word list and no language is built
+in. One pass counts the words, one narrow pass over Arrow batches measures the texts.
 """
 
 from __future__ import annotations
@@ -16,22 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import spread
 
-# Common words of the corpus' languages (English; Mongolian in Cyrillic, in its own script, in Latin).
-COMMON = frozenset(
-    """the a an of and is it in be that not to as had was this with from so for at but been has no some how by on they who
-    would were must if we then should there when because are both which his her he she one
-    юм ба мөн болон уу үү гэлээ тул болно ажээ тэр ч л харин бас билээ нь энэ байна болжээ бол тэгээд байв гэж ямар гэсэн
-    дотор дээр үгүй
-    ᠠᠴᠠ ᠳᠡᠭᠡᠷᠡ ᠡᠨᠡ ᠮᠥᠨ ᠪᠠᠰᠠ ᠲᠡᠷᠡ ᠪᠣᠯ ᠶᠢᠨ ᠢᠶᠠᠷ ᠪᠠ ᠤᠨ ᠦᠭᠡᠢ ᠨᠢ ᠳᠤ ᠭᠡᠵᠦ ᠢ ᠲᠠᠢ ᠴᠤ ᠪᠢᠯᠡ ᠪᠣᠯᠪᠠ ᠪᠠᠶᠢᠨ ᠪᠠᠶᠢᠨ᠎ᠠ ᠠᠵᠢ ᠶᠤᠮ ᠪᠣᠢ
-    basa ba ni bol mön ača deger deger-e bayin-a tere gejü ene bile ču aǰi ügei bui bolba bayinam yum""".split()
-)
-# Common characters of Chinese.
-COMMON_HAN = frozenset("的了是在与和就也把被为有到这那以不都而从")
 # Sentence ends, and what may follow or surround words.
 ENDS = ".!?。！？᠃…．"
 CLOSERS = "\"'”’»」』）)] \t\r\n"
@@ -47,30 +46,53 @@ LEADER = re.compile(r"(?:\.{3,}|…+|\s·{3,})\s*\d+\s*$")
 PAGES = re.compile(r"(?:,\s*\d{1,5}){1,}\s*$")
 REFERENCE = re.compile(r"\s*(?:\[\d+\]\s*)?(?:https?://|www\.)\S+\s*\Z")
 RULE = re.compile(r"[\s+\-|=_:*]{5,}$")
+# Marks that end or divide sentences, and those of them that are out of place: after a gap, or before a letter.
+MARKS = re.compile(r"[.,!?᠂᠃]")
+MISPLACED = re.compile(r"(?:(?<=\s)[.,᠂᠃]|[.,!?᠂᠃](?=[^\W\d_]))")
+LETTER = re.compile(r"[^\W\d_]")
 # What divides the cells of a row, and in how many places at least.
 DELIMITERS = ((re.compile(r"\t"), 1), (re.compile(r"</t[dh]>"), 1), (re.compile(r"\|"), 2), (re.compile(r" \| "), 1), (re.compile(r";(?! )"), 2), (re.compile(r",(?! )"), 2), (re.compile(r"(?: {2,}|\u3000+)(?=\S)"), 1), (re.compile(r"\S=\S*"), 2))
-#: Characters a cell has at most, on average, in a line that is a row.
+#: Characters that a cell has at most, on average, where the delimiter is one that prose has too.
 CELL = 60
+#: Of each script so many words, the most frequent by documents, are common, if in at least a twentieth of the documents of
+#: the first of them.
+COMMON_WORDS, COMMON_SHARE = 150, 0.05
+# Scripts by their names in the Unicode standard; other scripts together are one more.
+SCRIPTS = ("Latin", "Cyrillic", "Mongolian", "Han", "Greek", "Arabic", "Hebrew", "Devanagari", "Bengali", "Thai", "Tibetan", "Hangul", "Hiragana", "Katakana", "Armenian", "Georgian", "Ethiopic", "Tamil", "Telugu", "Khmer")
+
+#: How many of them no prose has.
+STRONG = 4
+ENDING = re.compile(r"[^\s\d.][.!?。！？᠃…．]+[\"'”’»」』）)\]]*(?:\s|$)|[。！？᠃]")
 
 FIELDS = [
     ("n_chars", T.LongType()), ("n_lines", T.LongType()), ("word_count", T.LongType()), ("mean_word_length", T.DoubleType()),
     ("symbol_ratio", T.DoubleType()), ("end_punctuation", T.DoubleType()), ("common_words", T.DoubleType()),
-    ("delimiter_alignment", T.DoubleType()), ("indent_periodicity", T.DoubleType()), ("length_autocorrelation", T.DoubleType()),
+    ("delimiter_alignment", T.DoubleType()), ("indent_periodicity", T.DoubleType()), ("length_autocorrelation", T.DoubleType()), ("misplaced_marks", T.DoubleType()),
     ("table_share", T.DoubleType()), ("list_share", T.DoubleType()), ("repeated_share", T.DoubleType()), ("prose_share", T.DoubleType()),
     ("kind", T.StringType()), ("is_prose", T.BooleanType()),
 ]
 
 
-def autocorrelation(series: list[int], lags: int = 8) -> float:
-    """The highest autocorrelation of a series over the first lags; 0 for short or constant series."""
-    if len(series) < 4:
+def autocorrelation(series: list[int]) -> float:
+    """The highest autocorrelation of a series over all lags up to half of its length, less what chance gives the highest
+    of so many lags; 1 for a constant series, 0 for a short one."""
+    n = len(series)
+    if n < 4:
         return 0.0
     x = np.asarray(series, float)
     x -= x.mean()
     power = float(x @ x)
     if power <= 1e-9:
-        return 0.0
-    return max(float(x[k:] @ x[:-k]) / power for k in range(1, min(lags, len(series) - 2) + 1))
+        return 1.0
+    spectrum = np.fft.rfft(x, 1 << (2 * n - 1).bit_length())
+    lags = np.fft.irfft(spectrum * spectrum.conj())[1 : n // 2 + 1] / power
+    return max(float(lags.max()) - float(np.sqrt(2 * np.log(len(lags) + 1) / n)), 0.0)
+
+
+def alike(lengths: list[int]) -> float:
+    """1 less the coefficient of variation of line lengths, the autocorrelation at any lag if that is more."""
+    x = np.asarray(lengths, float)
+    return max(1 - float(x.std() / x.mean()), autocorrelation(lengths)) if len(lengths) > 3 else 0.0
 
 
 def printed(text: str) -> int:
@@ -86,42 +108,78 @@ def table_rows(lines: list[str]) -> tuple[set[int], float]:
     if n < 2:
         return rows, aligned
     whole = "\n".join(lines)
-    for pattern, least in DELIMITERS:
+    for kind, (pattern, least) in enumerate(DELIMITERS):
         if not pattern.search(whole):
             continue
         counts = [len(pattern.findall(line.strip())) for line in lines]
+        fits = lambda k, cells: kind < STRONG or len(lines[k]) <= CELL * (cells + 1)  # noqa: B023, E731
         for cells, held in Counter(c for c in counts if c >= least).items():
             if held < 2 or held < 0.25 * n or (held == 2 and (cells < 2 or n > 4)):
                 continue
-            alike = [k for k, c in enumerate(counts) if c == cells and len(lines[k]) <= CELL * (cells + 1)]
-            if len(alike) >= 2:
-                rows.update(alike)
-                aligned = max(aligned, len(alike) / n)
+            same = [k for k, c in enumerate(counts) if c == cells and fits(k, cells)]
+            if len(same) >= 2:
+                rows.update(same)
+                aligned = max(aligned, len(same) / n)
+        # the same columns: a row may lack cells if its delimiters stand where those of other rows do
+        places = [{m.end() for m in pattern.finditer(line) if line[: m.start()].strip()} for line in lines]
+        columns = {at for at, held in Counter(at for p in places if len(p) >= least for at in p).items() if held >= 3 and held >= 0.4 * n}
+        if columns:
+            same = [k for k, p in enumerate(places) if p & columns and fits(k, counts[k])]
+            if len(same) >= 3 and len(same) >= 0.4 * n:
+                rows.update(same)
+                aligned = max(aligned, len(same) / n)
     return rows, aligned
 
 
+def indented_entries(lines: list[str]) -> tuple[set[int], float]:
+    """Lines before whose first letter the same width stands again and again at the same distance, and their share."""
+    widths: dict[int, list[int]] = {}
+    for k, line in enumerate(lines):
+        found = LETTER.search(line)
+        if found and found.start():
+            widths.setdefault(found.start(), []).append(k)
+    entries: set[int] = set()
+    for held in widths.values():
+        if len(held) >= 3:
+            gaps = Counter(b - a for a, b in zip(held, held[1:]))
+            if max(gaps.values()) >= 0.4 * (len(held) - 1):
+                entries.update(held)
+    return entries, len(entries) / max(len(lines), 1)
+
+
+def edge_entries(lines: list[str], bare: list[str], open_: list[int], chars: int) -> set[int]:
+    """Lines that end alike as no sentence does: in page numbers, or in one separator."""
+    n, entries = len(lines), {k for k in open_ if LEADER.search(lines[k])}
+    pages = [k for k in open_ if PAGES.search(lines[k])]
+    if len(pages) >= max(3, 0.5 * n):
+        entries.update(pages)
+    separated = [k for k in range(n) if bare[k] and bare[k][-1] in ",;,，；、᠂"]
+    if n >= 4 and len(separated) >= 0.6 * n and chars / n < 80:
+        entries.update(open_)
+    return entries
+
+
+def even_entries(lines: list[str], open_: list[int]) -> tuple[set[int], float]:
+    """Lines in which hardly a sentence ends, if their lengths are alike or return; and how much they are or do."""
+    rhythm = alike([len(lines[k]) for k in open_])
+    if len(open_) < 4:
+        return set(), rhythm
+    ends = sum(bool(ENDING.search(lines[k])) for k in open_)
+    return (set(open_) if ends <= 0.1 * len(open_) and rhythm >= 0.3 else set()), rhythm
+
+
 def reads_like_language(sentence: str, entry: bool) -> bool:
-    """Whether a sentence is ended and has enough words, some of them common. In a list entry more is asked."""
+    """Whether a sentence is ended and has enough words. In a list entry more is asked."""
     bare = sentence.rstrip(CLOSERS)
     if not bare or bare[-1] not in ENDS:
         return False
     words = WORD.findall(sentence)
     han = len(HAN.findall(sentence)) if words and not bare.isascii() else 0
     if han >= 4 and han >= len(words):
-        common = sum(c in COMMON_HAN for c in sentence)
-        if entry and (han < 8 or bare[-1] == "."):
-            return False
-        return han >= 5 and (common >= 0.08 * han or bare[-1] in "。！？")
-    found = [w for w in words if w in COMMON or w.lower() in COMMON]
-    if len(words) < 4 or not found or max(map(len, found)) < 2:
-        return False
-    # a common word at the end, as the Mongolian verb, is enough in a long sentence
-    last = found[-1] == words[-1] and len(words[-1]) > 1
-    if len(found) < (0.04 if last else 0.1) * len(words):
-        return False
+        return han >= (8 if entry else 5) and not (entry and bare[-1] == ".")
     if entry:
-        return len(words) >= (8 if words[0].isascii() else 5)
-    return True
+        return len(words) >= (8 if words and words[0].isascii() else 5)
+    return len(words) >= 4
 
 
 def broken_share(text: str, tokens: list[str], chars: int) -> float:
@@ -139,29 +197,24 @@ def broken_share(text: str, tokens: list[str], chars: int) -> float:
     return broken / max(len(tokens), 1)
 
 
-def measure(text: str | None) -> tuple:
-    """The values of FIELDS for one text; of null, empty and blank texts all figures are 0 and kind and is_prose null."""
+def measure(text: str | None, common: frozenset[str] = frozenset()) -> tuple:
+    """The values of FIELDS for one text; of null, empty and blank texts all figures are 0 and kind and is_prose null.
+    `common` are the common words of the corpus; without any, words count for nothing."""
     chars = printed(text) if text else 0
     if not chars:
-        return (len(text or ""), 0, 0, *[0.0] * 11, None, None)
+        return (len(text or ""), 0, 0, *[0.0] * 12, None, None)
     lines = [line for line in text.split("\n") if line.strip()]
     n = len(lines)
-    rows, aligned = table_rows(lines)
-    marked = {k for k, line in enumerate(lines) if k not in rows and (MARKER.match(line) or LEADER.search(line))}
-    pages = {k for k, line in enumerate(lines) if k not in rows and PAGES.search(line)}
-    if len(pages) >= max(3, 0.5 * n):
-        marked |= pages
     bare = [line.rstrip(CLOSERS) for line in lines]
     ended = [bool(b) and b[-1] in ENDS for b in bare]
-    words = WORD.findall(text)
-    common = sum(w in COMMON or w.lower() in COMMON for w in words)
-    period, rhythm = autocorrelation([len(x) - len(x.lstrip()) for x in lines]), autocorrelation([len(x) for x in lines])
-    # lines that end in one separator again and again are entries
-    separated = [k for k, b in enumerate(bare) if b and b[-1] in ",;，；、᠂"]
-    if n >= 4 and len(separated) >= 0.6 * n and chars / n < 80:
-        marked |= set(range(n)) - rows
+    rows, aligned = table_rows(lines)
+    open_ = [k for k in range(n) if k not in rows]
+    indented, period = indented_entries(lines)
+    marked = (indented | edge_entries(lines, bare, open_, chars)) - rows
+    even, rhythm = even_entries(lines, [k for k in open_ if k not in marked])
+    marked |= even
     held = sum(printed(lines[k]) for k in rows)
-    listed = sum(printed(lines[k]) for k in marked - rows)
+    listed = sum(printed(lines[k]) for k in marked)
 
     pieces: list[tuple[str, bool]] = []
     run: list[str] = []
@@ -172,7 +225,8 @@ def measure(text: str | None) -> tuple:
             if run:
                 pieces.append(("\n".join(run), False))
                 run = []
-            pieces.append((MARKER.sub("", line, count=1), True))
+            marker = MARKER.match(line)
+            pieces.append((line[marker.end() :] if marker else line, True))
         else:
             run.append(line)
     if run:
@@ -181,54 +235,73 @@ def measure(text: str | None) -> tuple:
     seen: set[str] = set()
     for piece, entry in pieces:
         for sentence in SENTENCE.findall(piece):
-            parts = sentence.split()
-            key = "".join(parts)
+            key = "".join(sentence.split())
             if len(key) < 4:
                 continue
             if key in seen:
                 repeated += len(key)
-            elif reads_like_language(sentence, entry):
-                seen.add(key)
+                continue
+            seen.add(key)
+            if reads_like_language(sentence, entry):
                 good += len(key)
-            else:
-                seen.add(key)
+    words = WORD.findall(text)
+    known = sum(w in common or w.lower() in common for w in words) if common else 0
+    if common and not text.isascii() and (han := HAN.findall(text)):
+        # a run of such characters is many words
+        runs = sum(bool(HAN.match(w)) for w in words)
+        known, n_words = known + sum(c in common for c in han), len(words) - runs + len(han)
+    else:
+        n_words = len(words)
+    common_share = known / n_words if n_words else 0.0
     tokens = text.split()
     broken = broken_share(text, tokens, chars)
+    marks = len(MARKS.findall(text))
+    strewn = len(MISPLACED.findall(text)) / marks if marks else 0.0
     # a heading and bare references around running sentences do not count against them
     beside = sum(printed(line) for line in lines if REFERENCE.match(line))
-    if n > 1 and not ended[0] and len(lines[0]) <= CELL and "\n\n" in text.lstrip()[: len(lines[0]) + 2]:
+    if n > 1 and not ended[0] and len(lines[0]) <= max(map(len, lines[1:])) and "\n\n" in text.lstrip()[: len(lines[0]) + 2]:
         beside += printed(lines[0])
     share = good / max(chars - beside, good) if good else 0.0
-    prose = share >= 0.5 and broken < 0.3
-    # of what is no prose, lines of which hardly any ends a sentence, with hardly a common word, are entries too if they
-    # are indented periodically, alike in length, or short
-    alike = period >= 0.3 or rhythm >= 0.2 or chars / n < 40
-    if not prose and n >= 4 and sum(ended) <= 0.2 * n and common <= 0.08 * len(words) and len(words) >= 0.3 * n and alike:
-        listed = chars - held
+    prose = share >= 0.5 and broken < 0.3 and (strewn < 0.4 or common_share >= 0.3)
     kind = "prose" if prose else "table" if held >= 0.4 * chars else "list" if listed >= 0.4 * chars else "junk"
     return (
         len(text), n, len(words), sum(map(len, words)) / len(words) if words else 0.0, len(SYMBOL.findall(text)) / chars,
-        sum(ended) / n, common / len(words) if words else 0.0, aligned,
-        period, rhythm,
+        sum(ended) / n, common_share, aligned, period, rhythm, strewn,
         held / chars, listed / chars, repeated / chars, share, kind, prose,
     )
 
 
-def quality_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def common_words(df: DataFrame, text: str = "text", most: int = COMMON_WORDS) -> frozenset[str]:
+    """The common words of a corpus: of each script the `most` words that are in most documents, if in at least
+    COMMON_SHARE as many as the first. All documents count; at most `most` words a script come to the driver."""
+    word = r"\p{IsHan}|[\p{L}\p{Mn}&&[^\p{IsHan}]][\p{L}\p{Mn}\x{180b}-\x{180e}'’\x{2010}\x{2011}\-&&[^\p{IsHan}]]*"
+    words = spread(df.select(text)).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0)))).alias("w"))
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    script = F.lit("other")
+    for name in reversed(SCRIPTS):
+        script = F.when(F.col("w").rlike(rf"^\p{{Is{name}}}"), name).otherwise(script)
+    ranked = counted.withColumn("s", script).withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy(F.desc("n"), "w"))).where(F.col("r") <= most)
+    first = F.max("n").over(Window.partitionBy("s"))
+    return frozenset(r["w"] for r in ranked.withColumn("top", first).where(F.col("n") >= COMMON_SHARE * F.col("top")).select("w").collect())
+
+
+def quality_statistics(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), common: frozenset[str] | None = None) -> DataFrame:
     """The columns `keep` and the statistics FIELDS of each row's text: word count, mean word length, symbols and broken
     characters per printed character, share of lines that end a sentence, share of common words, alignment of
-    delimiters, periodicity of indentation and line lengths, shares of table rows, list entries, repeated sentences and
-    prose sentences, the kind of the text (prose, list, table, junk) and whether it is natural prose.
+    delimiters, periodicity of indentation and line lengths, share of punctuation marks out of place, shares of table rows,
+    list entries, repeated sentences and prose sentences, the kind of the text (prose, list, table, junk) and whether it is
+    natural prose. `common` are the common words; without it they are those of the texts themselves.
 
     Null, empty and blank texts have figures of 0 and a null kind. Very long texts are measured whole. Repeated rows are
     measured each, an empty table gives an empty table, columns not in `keep` are not read.
     """
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(name, kind) for name, kind in FIELDS)])
+    known = df.sparkSession.sparkContext.broadcast(common_words(df, text) if common is None else common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = zip(*map(measure, batch.column(batch.num_columns - 1).to_pylist()))
+                columns = zip(*(measure(t, known.value) for t in batch.column(batch.num_columns - 1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, ARROW))], names=[*keep, *(name for name, _ in FIELDS)])
 
     return spread(df).select(*keep, text).mapInArrow(run, schema)

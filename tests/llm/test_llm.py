@@ -348,7 +348,10 @@ PROSE = "The primer covers the tax, and the scribe of the river has quietly mark
 @pytest.mark.parametrize(
     ("kind", "text"),
     [
-        ("prose", PROSE), ("prose", "A heading\n\n" + PROSE + "\n\n[3] https://x.invalid/4"), ("prose", "\n".join("- " + s.strip() + "." for s in PROSE.split(".") if s.strip())),
+        ("prose", PROSE), ("prose", "Dogs chase cats daily. Farmers plant seeds every spring. Children sing songs loudly together."),
+        ("prose", "El perro duerme en la casa. La mujer compra pan en el mercado. Los niños juegan en el parque con sus amigos."),
+        ("junk", "ssenuytf ioeric ,oh stl, otlesoeod a sub  edaceg ht ideeltrea pb  odw  in e t ormen.neiveleo eaocee hso gteb t"),
+        ("prose", "A heading\n\n" + PROSE + "\n\n[3] https://x.invalid/4"), ("prose", "\n".join("- " + s.strip() + "." for s in PROSE.split(".") if s.strip())),
         ("table", "a|b|c\n" * 9), ("table", "name\tsize\n" + "\n".join(f"x{k}\t{k}" for k in range(9))), ("table", "\n".join(f"{k}\tThe scribe of the river has marked a page.\t{k}" for k in range(9))),
         ("list", "\n".join(f"{k}. a narrow page of the scribe," for k in range(1, 9))), ("list", "\n".join(f"chapter {k} ........ {k}" for k in range(9))),
         ("junk", "seal stamp river " * 40), ("junk", "The scribe of the river has marked a page. " * 30), ("junk", "qwxz " * 50), ("junk", "NaN"), ("junk", "?" * 400),
@@ -362,6 +365,40 @@ def test_kinds(kind, text):
         assert found["kind"] == kind
 
 
+LINES = ["the red house", "an old bridge", "one tall tower", "a deep river", "the long road", "a green field", "some dry wells", "the last gate"]
+
+
+@pytest.mark.parametrize(
+    ("detector", "text"),
+    [
+        ("table_rows", "\n".join(f"{k}\tThe scribe of the {w} has marked a page.\t{k}" for k, w in enumerate("north south east west inner outer".split()))),
+        ("table_rows", "\n".join(f"{w:<16}It was kept by the clerk in {k}." for k, w in enumerate("north south east west inner outer".split()))),
+        ("indented_entries", "\n".join(f"- The gate of {w} was closed." for w in "north south east west inner outer".split())),
+        ("edge_entries", "\n".join(f"{w.capitalize()} of the page was kept ........ {k}" for k, w in enumerate("ink seal leaf cord".split())) + "\n" + "The clerk had the ledger."),
+        ("even_entries", "\n".join(LINES * 2) + "\nIt was the clerk that kept the ledger of the town."),
+    ],
+)
+def test_every_detector_decides_some_text(monkeypatch, detector, text):
+    assert quality.measure(text)[-1] is False
+    monkeypatch.setattr(quality, detector, {"edge_entries": lambda *a: set()}.get(detector, lambda *a: (set(), 0.0)))
+    assert quality.measure(text)[-1] is True
+
+
+def test_common_words_are_those_of_the_corpus(spark):
+    rows = [(f"the fox number {k} ran", ) for k in range(40)] + [(f"ба {k} лис", ) for k in range(4)] + [(None,), ("",)]
+    found = quality.common_words(spark.createDataFrame(rows, "text string"))
+    assert found == {"the", "fox", "number", "ran", "ба", "лис"}
+    statistics = quality.quality_statistics(spark.createDataFrame([(1, "the fox and others")], "doc_id long, text string"), common=found).first()
+    assert statistics["common_words"] == 0.5
+
+
+def test_autocorrelation_has_no_lag_limit():
+    rng = random.Random(2)
+    assert quality.autocorrelation([k % 30 * 3 for k in range(300)]) > 0.5
+    assert quality.autocorrelation([rng.randint(0, 90) for _ in range(300)]) < 0.1
+    assert quality.autocorrelation([5] * 9) == 1 and quality.autocorrelation([1, 2, 3]) == 0
+
+
 def test_statistics_of_awkward_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, PROSE), (4, PROSE), (5, "x" * 100_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit("clash"))
