@@ -19,11 +19,12 @@ from pyspark.sql import types as T
 
 from ..session import staged
 
-# Letters of other scripts that print as a Latin letter.
+# Letters of other scripts that print as a Latin letter. Covered are the scripts whose letters do so in plain
+# upright type: Cyrillic, Greek, Armenian, Cherokee, Lisu, Coptic, Deseret, and Latin letters of other blocks.
 LOOK_ALIKES = {
     # Cyrillic
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h",
-    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ә": "ǝ", "ӕ": "æ",
+    "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l", "ә": "ə", "ӕ": "æ", "ԍ": "ɢ",
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y",
     "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԁ": "D", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "Ӏ": "I", "Ԍ": "G", "Ӕ": "Æ",
     "Ә": "Ə",
@@ -34,15 +35,25 @@ LOOK_ALIKES = {
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "Օ": "O", "Ս": "U",
     # Cherokee
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S",
-    "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z",
-    # Latin letters of other blocks
-    "ɡ": "g", "Ð": "Đ", "Ɖ": "Đ",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭹ": "Y", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G",
+    "Ꮓ": "Z", "Ꮟ": "b", "Ꮢ": "R", "Ꮤ": "W", "Ꮥ": "S", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    "Ꮒ": "h", "Ᏻ": "G", "Ꮖ": "I",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N",
+    "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O",
+    "ꓴ": "U", "ꓱ": "Ǝ", "ꓵ": "Ո",
+    # Coptic
+    "Ⲃ": "B", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z",
+    "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲭ": "x",
+    # Deseret
+    "𐐄": "O", "𐐬": "o", "𐐕": "C", "𐐽": "c", "𐐛": "L", "𐐠": "S", "𐑈": "s",
+    # Latin letters of other blocks, and one shape that Unicode has twice
+    "ɡ": "g", "ɑ": "α", "ᴏ": "o", "ᴄ": "c", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᴜ": "u", "ꜱ": "s", "Ð": "Đ", "Ɖ": "Đ", "ǝ": "ə",
     # Cyrillic and Latin barred o
     "ө": "ɵ", "Ө": "Ɵ",
 }
-# Mongolian letters that share all their printed forms, and hyphens of one shape.
-SAME_SHAPE = {"ᠤ": "ᠣ", "ᠦ": "ᠥ", "‐": "-", "‑": "-", "⁃": "-", "﹣": "-"}
+# Mongolian letters that share all their printed forms, and hyphens, apostrophes and middle dots of one shape.
+SAME_SHAPE = {"ᠤ": "ᠣ", "ᠦ": "ᠥ", "‐": "-", "‑": "-", "⁃": "-", "﹣": "-", "ʼ": "’", "∙": "·", "⋅": "·"}
 # Code points that print nothing, besides the format characters.
 PRINT_NOTHING = [*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), 0x034F, 0x115F, 0x1160, 0x3164, 0xFFA0, 0x17B4, 0x17B5]
 #: Seen, although format characters: the Mongolian vowel separator.

@@ -142,13 +142,19 @@ def test_forms_are_those_of_brute_force(spark):
 
 
 def test_what_looks_the_same_and_what_does_not(spark):
-    same = [("é", "é"), ("ａ", "a"), ("со", "co"), ("ᠣ", "ᠤ"), ("a b", " a  b​"), ("ﬁ", "fi"), ("ậ", "ậ"), ("ậ", "ậ"), ("й", "й"), ("⽇", "日"), ("‐", "-"), ("Ⅳ", "IV")]
-    other = [("a", "A"), ("e", "é"), ("1", "¹"), ("1", "①"), (".", ","), ("a\nb", "a b"), ("ᠣ", "ᠣ᠋"), ("ᠣᠠ", "ᠣ᠎ᠠ"), ("ᠣ ᠣ", "ᠣ ᠣ"), ("у", "ү"), ("o", "ө"), ("日", "旦")]
+    same = [("é", "é"), ("ａ", "a"), ("со", "co"), ("ᠣ", "ᠤ"), ("a b", " a  b​"), ("ﬁ", "fi"), ("ậ", "ậ"), ("ậ", "ậ"), ("й", "й"), ("⽇", "日"), ("‐", "-"), ("Ⅳ", "IV"), ("ә", "ə"), ("ǝ", "ə"), ("ꓮꓐ", "AB"), ("Ⲟⲟ", "Oo"), ("ᎠᎡᏀ", "DRG"), ("ʼ", "’"), ("∙", "·")]
+    other = [("a", "A"), ("e", "é"), ("1", "¹"), ("1", "①"), (".", ","), ("a\nb", "a b"), ("ᠣ", "ᠣ᠋"), ("ᠣᠠ", "ᠣ᠎ᠠ"), ("ᠣ ᠣ", "ᠣ ᠣ"), ("у", "ү"), ("o", "ө"), ("日", "旦"), ("Ə", "Ǝ"), ("–", "-"), ("У", "Ү")]
     rows = [(f"{kind}{k}{side}", t) for kind, pairs in (("s", same), ("o", other)) for k, pair in enumerate(pairs) for side, t in zip("ab", (pair[0] + kind * 9 + str(k), pair[1] + kind * 9 + str(k)))]
     got = {(r["text_a"], r["text_b"]) for r in normalize.look_alike_pairs(spark.createDataFrame([*rows, ("n", None), ("e", " "), ("z", "\u200b"), rows[0]], "key string, text string")).collect()}
     assert got == {(f"s{k}a", f"s{k}b") for k in range(len(same))}
 
 
+def test_look_alikes_lead_to_shapes_that_stay():
+    table = dict(normalize.shape_table())
+    for shape in [*normalize.LOOK_ALIKES.values(), *normalize.SAME_SHAPE.values()]:
+        assert shape not in table or "".join(p for _, p in table[shape]) == shape
+
+
 def test_pairs_in_a_hot_class_are_whole(spark):
     rows = [(f"k{i:03d}", "а" if i % 3 else "a") for i in range(60)]
     got = {(r["text_a"], r["text_b"]) for r in normalize.look_alike_pairs(spark.createDataFrame(rows, "key string, text string")).collect()}
