@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb, inf
 
 import numpy as np
 import pyarrow as pa
@@ -76,18 +78,49 @@ def band_places(parts: int) -> list[tuple[int, int]]:
     return [(i * width + min(i, wider), width + (i < wider)) for i in range(parts)]
 
 
+def flips(width: int, radius: int) -> list[int]:
+    """All patterns of at most `radius` bits among `width`."""
+    return [sum(1 << bit for bit in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
+
+
+def band_plan(limit: int, n: int) -> tuple[int, int]:
+    """How many bands to cut signatures into, and in how many bits of a band to look for neighbours. Of two signatures
+    within `limit` bits at least one of m bands differs in at most limit // m: with limit + 1 bands one is equal, with fewer
+    and wider ones neighbours are probed. The plan is the one with the fewest probes and expected meetings among n."""
+
+    def cost(m: int) -> float:
+        wide, radius = 64 // m, limit // m
+        probes = sum(comb(wide + (64 % m > 0), r) for r in range(radius + 1))
+        return m * probes * (1 + n / 2**wide) if probes <= 4096 else inf
+
+    parts = min((m for m in range(2, min(limit + 1, 64) + 1)), key=lambda m: (cost(m), m), default=2)
+    return parts, limit // parts
+
+
+def _part(low: int, width: int) -> Column:
+    return F.shiftrightunsigned("sig", low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _probed(band: int, low: int, width: int, radius: int) -> Column:
+    """The band and all its neighbours within `radius` bits."""
+    return F.transform(F.lit(flips(width, radius)).cast("array<bigint>"), lambda mask: F.struct(F.lit(band).alias("band"), _part(low, width).bitwiseXOR(mask).alias("part")))
+
+
 def near_pairs(sigs: DataFrame, limit: int, key: str = "doc_id", sig: str = "sig", bands: int | None = None) -> DataFrame:
     """(a, b, dist) of all pairs of different keys, a before b, whose signatures differ in at most `limit` bits.
 
     Rows of one signature meet as one: pairs are found between distinct signatures, then the keys of equal and of close
-    signatures are brought together. By default limit + 1 bands make the search exact (of so many parts of a signature
-    at least one is equal); fewer bands find only pairs that share one.
+    signatures are brought together. The search is exact, by bands and probes as `band_plan` has them; given `bands`, it
+    finds only pairs that share one. Null keys and signatures are left out.
     """
-    held = staged(sigs.select(F.col(key).alias("key"), F.col(sig).alias("sig")))
-    distinct = held.select("sig").distinct()
-    cut = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("sig", low).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("part")) for i, (low, width) in enumerate(band_places(bands or limit + 1))))
-    banded = distinct.select("sig", F.explode(cut).alias("b")).select("sig", "b.band", "b.part")
-    left, right = banded.withColumnRenamed("sig", "sa"), banded.withColumnRenamed("sig", "sb")
+    held = staged(sigs.select(F.col(key).alias("key"), F.col(sig).alias("sig")).where("key is not null and sig is not null"))
+    distinct = staged(held.select("sig").distinct())
+    parts, radius = (bands, 0) if bands else band_plan(limit, distinct.count())
+    places = band_places(parts)
+    own = F.array(*(F.struct(F.lit(i).alias("band"), _part(low, width).alias("part")) for i, (low, width) in enumerate(places)))
+    probes = F.flatten(F.array(*(_probed(i, low, width, radius) for i, (low, width) in enumerate(places))))
+    right = distinct.select(F.col("sig").alias("sb"), F.explode(own).alias("b")).select("sb", "b.band", "b.part")
+    left = distinct.select(F.col("sig").alias("sa"), F.explode(probes if radius else own).alias("b")).select("sa", "b.band", "b.part")
     close = left.join(right, ["band", "part"]).where(F.col("sa") < F.col("sb")).where(distance(F.col("sa"), F.col("sb")) <= limit).select("sa", "sb").distinct()
     near = close.select("sa", "sb", distance(F.col("sa"), F.col("sb")).alias("dist")).union(distinct.select("sig", "sig", F.lit(0)))
     a, b = held.select(F.col("key").alias("ka"), F.col("sig").alias("sa")), held.select(F.col("key").alias("kb"), F.col("sig").alias("sb"))

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import text as X
 
-MASK = (1 << 64) - 1
-
 
 def as_symbols(units: Column, known: Column) -> Column:
     """Units written as one character each: the place of the unit among the distinct units of the pair."""
@@ -137,14 +135,17 @@ def script_rates(pairs: DataFrame, key: str, pred: str = "pred", ref: str = "ref
     return scored.groupBy("bucket").agg(F.round(F.sum("d") / F.sum(F.greatest("n", F.lit(1))), 6).alias("cer"), F.sum("n").alias("n_ref")).where("n_ref > 0")
 
 
-def lcg_draws(seed_text: str, count: int, size: int) -> np.ndarray:
-    """`count` indices below `size` of the 64-bit linear congruential generator seeded by a digest."""
-    state = int(hashlib.sha256(seed_text.encode()).hexdigest()[:16], 16)
-    out = np.empty(count, np.int64)
-    for k in range(count):
-        state = (6_364_136_223_846_793_005 * state + 1_442_695_040_888_963_407) & MASK
-        out[k] = state % size
-    return out
+def lcg_jumps(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factor and summand that take the state of the 64-bit congruential generator 1 to `count` steps on."""
+    factor = np.full(count, 6_364_136_223_846_793_005, np.uint64).cumprod(dtype=np.uint64)
+    sums = np.concatenate([np.ones(1, np.uint64), factor[:-1]]).cumsum(dtype=np.uint64)
+    return factor, sums * np.uint64(1_442_695_040_888_963_407)
+
+
+def lcg_draws(seed_text: str, jumps: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
+    """Indices below `size` of the generator seeded by a digest, one for each jump."""
+    state = np.uint64(int(hashlib.sha256(seed_text.encode()).hexdigest()[:16], 16))
+    return ((jumps[0] * state + jumps[1]) % np.uint64(size)).astype(np.int64)
 
 
 def paired_bootstrap(spark, rows: dict[str, np.ndarray], weights: dict[str, float], resamples: int = 2000, seed: int = 42) -> DataFrame:
@@ -153,13 +154,14 @@ def paired_bootstrap(spark, rows: dict[str, np.ndarray], weights: dict[str, floa
     held = spark.sparkContext.broadcast({b: np.asarray(v, np.int64) for b, v in rows.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        jumps = {b: lcg_jumps(len(v)) for b, v in held.value.items()}
         for batch in batches:
             deltas = []
             for resample in batch["resample"]:
                 total = 0.0
                 for bucket, values in held.value.items():
                     text = json.dumps({"bucket": bucket, "resample": int(resample), "schema_version": 1, "seed": seed}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-                    left, right, units = values[lcg_draws(text, len(values), len(values))].sum(axis=0)
+                    left, right, units = values[lcg_draws(text, jumps[bucket], len(values))].sum(axis=0)
                     total += weights[bucket] * (left / units - right / units)
                 deltas.append(total)
             yield pd.DataFrame({"resample": batch["resample"], "delta": deltas})

@@ -35,6 +35,16 @@ def row_index(df: DataFrame, order: str, out: str = "idx", by: tuple[str, ...] =
     return prefix_sum(df, order, F.lit(1), out, by)
 
 
+def digest_rank(df: DataFrame, by: list[str], digest: Column, tie: str, out: str = "pos") -> DataFrame:
+    """df with the place of each row of its group in the order of a hexadecimal digest, ties by `tie`. Rows of one range of
+    digests are ranked together, and the ranges before are counted, so that a large group is not one task."""
+    keyed = df.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 3))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = keyed.groupBy(*by, "_range").agg(F.count("*").alias("_n")).withColumn("_start", before).drop("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_digest", tie)) - 1
+    return keyed.withColumn("_inside", inside).join(starts, [*by, "_range"]).withColumn(out, (F.col("_start") + F.col("_inside")).cast("long")).select(*df.columns, out)
+
+
 def fixed_chop(df: DataFrame, order: str, size: str, length: int) -> DataFrame:
     """Texts laid end to end and cut at every `length` tokens: (chunk, order key, first, n) for each piece. The last chunk
     is dropped if it is not full."""

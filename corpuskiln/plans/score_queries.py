@@ -64,9 +64,9 @@ def score_f21_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def score_a23_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference of two weighted error rates, raw and folded, by 2,000 paired resamples of the test
-    set: the distinct pairs of each bucket in which the texts differ."""
+    set: all pairs of each bucket."""
     p, r = F.col("pred"), F.col("ref")
-    rows = pairs(spark, sf_dir).where("bucket is not null and pred <> ref").select("bucket", "review_id", scoring.char_distance(p, r).alias("a"), scoring.char_distance(X.nominal_fold(p), X.nominal_fold(r)).alias("b"), F.greatest(F.length("ref"), F.lit(1)).alias("n"))
+    rows = pairs(spark, sf_dir).where("bucket is not null").select("bucket", "review_id", scoring.char_distance(p, r).alias("a"), scoring.char_distance(X.nominal_fold(p), X.nominal_fold(r)).alias("b"), F.greatest(F.length("ref"), F.lit(1)).alias("n"))
     held = scoring_set(rows)
     weights = {"print": 0.6, "handwritten_good": 0.1, "handwritten_medium": 0.2, "handwritten_poor": 0.1}
     deltas = scoring.paired_bootstrap(spark, {b: v for b, v in held.items() if b in weights}, weights)

@@ -142,28 +142,21 @@ def join_j13_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BOXES = """select l_suppkey as g, l_orderkey * 10 + l_linenumber as id, cast(l_partkey % 400 as int) as x0, cast(l_orderkey % 300 as int) as y0,
-    cast(l_partkey % 400 + l_quantity as int) as x1, cast(l_orderkey % 300 + l_quantity / 2 as int) as y1 from lineitem where l_returnflag = '{0}' and l_linenumber <= 2"""
+    cast(l_partkey % 400 + l_quantity as int) as x1, cast(l_orderkey % 300 + l_quantity / 2 as int) as y1 from lineitem"""
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("g"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 400).cast("int").alias("x0"), (F.col("l_orderkey") % 300).cast("int").alias("y0"),
-        F.round(F.col("l_partkey") % 400 + F.col("l_quantity")).cast("int").alias("x1"), F.bround(F.col("l_orderkey") % 300 + F.col("l_quantity") / 2).cast("int").alias("y1"), "l_returnflag", "l_linenumber",
+        F.round(F.col("l_partkey") % 400 + F.col("l_quantity")).cast("int").alias("x1"), F.bround(F.col("l_orderkey") % 300 + F.col("l_quantity") / 2).cast("int").alias("y1"),
     )
 
 
-@query(f"""with a as ({_BOXES.format('A')}), b as ({_BOXES.format('R')})
+@query(f"""with a as ({_BOXES}), b as ({_BOXES})
     select a.g, a.id as a_id, b.id as b_id, cast((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as bigint) as area,
     a.x0 <= b.x0 and a.y0 <= b.y0 and b.x1 <= a.x1 and b.y1 <= a.y1 as inside from a join b using (g)
     where a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 and a.x1 > a.x0 and a.y1 > a.y0 and b.x1 > b.x0 and b.y1 > b.y0""")
 def join_j14_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping boxes of a group, by cells of a grid: of the first two lines of an order, as the SQL has it."""
-    boxes = _boxes(spark, sf_dir).where("l_linenumber <= 2")
-    return joins.box_join(boxes.where("l_returnflag = 'A'"), boxes.where("l_returnflag = 'R'"), ["g"])
-
-
-@query()
-def join_j14_all_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping boxes of a group, by cells of a grid: every row against every row. A row meets itself too: ids repeat,
     so they cannot tell a row from another one of its id."""
     boxes = _boxes(spark, sf_dir)
@@ -263,10 +256,10 @@ _SIG_SQL = f"select vec_id, {_SIGNS.format(1, 32)} as h, {_SIGNS.format(33, 64)}
 
 
 @query(f"""with s as ({_SIG_SQL}) select a.vec_id as a, b.vec_id as b, cast(bit_count(xor(cast(a.h as bigint), cast(b.h as bigint))) + bit_count(xor(cast(a.l as bigint), cast(b.l as bigint))) as int) as dist
-    from s a join s b on a.vec_id < b.vec_id where bit_count(xor(cast(a.h as bigint), cast(b.h as bigint))) + bit_count(xor(cast(a.l as bigint), cast(b.l as bigint))) <= 14""")
+    from s a join s b on a.vec_id < b.vec_id where bit_count(xor(cast(a.h as bigint), cast(b.h as bigint))) + bit_count(xor(cast(a.l as bigint), cast(b.l as bigint))) <= 20""")
 def dedup_j8_signature_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of signatures that differ in at most 14 bits, found exactly by 15 bands."""
-    return dedup.near_pairs(embedding_signs(spark, sf_dir), 14, "vec_id")
+    """Pairs of signatures that differ in at most 20 bits, found exactly by probing bands."""
+    return dedup.near_pairs(embedding_signs(spark, sf_dir), 20, "vec_id")
 
 
 @query()
@@ -312,7 +305,7 @@ def bucket_order(samples: DataFrame, epochs: DataFrame | None = None) -> DataFra
     rows = samples.where("quota_buckets is not null").select("quota_buckets", "sample_id").distinct()
     rows = rows.withColumn("epoch", F.lit(0).cast("long")) if epochs is None else rows.join(epochs, "quota_buckets")
     digest = H.joined_hash(F.lit("7"), F.col("quota_buckets"), F.col("epoch").cast("string"), F.col("sample_id"), F.lit("order"))
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy("quota_buckets", "epoch").orderBy(digest, "sample_id")) - 1).cast("long"))
+    return sequence.digest_rank(rows, ["quota_buckets", "epoch"], digest, "sample_id")
 
 
 @query(f"""select quota_buckets, sample_id, row_number() over (partition by quota_buckets order by {_ORDER.format(0)}, sample_id) - 1 as pos
@@ -338,23 +331,24 @@ QUOTAS = {"print": 12, "handwritten_good": 2, "handwritten_medium": 4, "handwrit
 CYCLE = quota_cycle(QUOTAS)
 
 
-@query(f"""with c as (select unnest([{", ".join(f"'{b}'" for b in CYCLE)}]) as bucket, unnest(generate_series(0, 19)) as slot),
-    d as (select i as draw, bucket, row_number() over (partition by bucket order by i) - 1 as occurrence from (select unnest(generate_series(0, 399)) as i) join c on i % 20 = slot),
-    o as (select quota_buckets, sample_id, row_number() over (partition by quota_buckets order by {_ORDER.format(0)}, sample_id) - 1 as pos from (select distinct quota_buckets, sample_id from samples where quota_buckets is not null)),
-    n as (select quota_buckets, count(*) as size from o group by quota_buckets)
-    select draw, bucket, occurrence // size as epoch, sample_id from d join n on bucket = n.quota_buckets join o on o.quota_buckets = bucket and o.pos = occurrence % size where occurrence // size = 0""")
-def order_o3_quota_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of the first 400 draws that fall into the first epoch of their bucket, as the SQL has it."""
-    return quota_schedule(table(spark, sf_dir, "samples")).where("epoch = 0")
+_EPOCH_ORDER = "sha256('7' || chr(0) || quota_buckets || chr(0) || cast(epoch as varchar) || chr(0) || sample_id || chr(0) || 'order')"
 
 
-@query()
-def order_o3_all_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 draws of the quota schedule, in every epoch they reach."""
-    return quota_schedule(table(spark, sf_dir, "samples"))
+@query(f"""with s as (select distinct quota_buckets, sample_id from samples where quota_buckets is not null),
+    c as (select unnest([{", ".join(f"'{b}'" for b in CYCLE)}]) as bucket, unnest(generate_series(0, 19)) as slot),
+    d as (select i as draw, bucket, row_number() over (partition by bucket order by i) - 1 as occurrence from (select unnest(generate_series(0, (select count(*) from s) - 1)) as i) join c on i % 20 = slot),
+    n as (select quota_buckets, count(*) as size from s group by quota_buckets),
+    a as (select draw, bucket, occurrence // size as epoch, occurrence % size as pos from d left join n on bucket = quota_buckets),
+    e as (select distinct bucket, epoch from a where epoch is not null),
+    o as (select bucket, epoch, sample_id, row_number() over (partition by bucket, epoch order by {_EPOCH_ORDER}, sample_id) - 1 as pos from s join e on quota_buckets = bucket)
+    select draw, bucket, epoch, sample_id from a left join o using (bucket, epoch, pos)""")
+def order_o3_quota_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quota schedule of as many draws as there are samples, in every epoch that the draws reach."""
+    samples = table(spark, sf_dir, "samples")
+    return quota_schedule(samples, samples.where("quota_buckets is not null").select("quota_buckets", "sample_id").distinct().count())
 
 
-def quota_schedule(samples: DataFrame, n: int = 400) -> DataFrame:
+def quota_schedule(samples: DataFrame, n: int) -> DataFrame:
     """(draw, bucket, epoch, sample_id) of the first n draws in closed form: draw to bucket and occurrence, occurrence to
     an epoch and a place in the bucket's hash order of that epoch. Draws of a bucket without samples have null epochs.
     Only epochs that occur are ordered: of each bucket at most n rows more than it has samples."""
@@ -362,7 +356,8 @@ def quota_schedule(samples: DataFrame, n: int = 400) -> DataFrame:
     each = F.array(*(F.lit(QUOTAS[b]) for b in CYCLE))
     slot = (F.col("draw") % len(CYCLE)).cast("int")
     draws = samples.sparkSession.range(n).select(F.col("id").alias("draw")).select("draw", slots[slot].alias("bucket"), (F.floor(F.col("draw") / len(CYCLE)) * each[slot] + before[slot]).alias("occurrence"))
-    sizes = samples.where("quota_buckets is not null").groupBy(F.col("quota_buckets").alias("bucket")).agg(F.countDistinct("sample_id").alias("size")).where("size > 0")
+    # a row for each bucket of the cycle
+    sizes = samples.where(F.col("quota_buckets").isin(*QUOTAS)).groupBy(F.col("quota_buckets").alias("bucket")).agg(F.countDistinct("sample_id").alias("size")).where("size > 0")
     at = draws.join(F.broadcast(sizes), "bucket", "left").select("draw", "bucket", F.floor(F.col("occurrence") / F.col("size")).alias("epoch"), F.pmod("occurrence", "size").alias("pos"))
     epochs = at.where("epoch is not null").select(F.col("bucket").alias("quota_buckets"), "epoch").distinct()
     order = bucket_order(samples, epochs).withColumnRenamed("quota_buckets", "bucket")

@@ -174,6 +174,26 @@ def test_near_pairs_at_a_limit_that_does_not_divide_the_bits(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", range(21))
+def test_near_pairs_equal_brute_force_at_every_limit(spark, limit):
+    """Among them, for every limit, a pair that differs in one bit of each band, and one in `limit` bits of one band."""
+    rng = random.Random(limit)
+    base = rng.getrandbits(64)
+    sigs = [base, base ^ sum(1 << (k * 64 // max(limit, 1)) for k in range(limit)), base ^ ((1 << limit) - 1), base ^ ((1 << (limit + 1)) - 1)]
+    sigs += [base ^ sum(1 << k for k in rng.sample(range(64), d)) for d in range(limit + 3) for _ in range(4)]
+    sigs = [s - 2**64 if s >= 2**63 else s for s in sigs]
+    df = spark.createDataFrame([*enumerate(sigs), (None, sigs[0]), (-1, None)], "doc_id long, sig long").coalesce(1)
+    got = {(r["a"], r["b"], r["dist"]) for r in dedup.near_pairs(df, limit).collect()}
+    assert got == {(i, j, d) for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (d := ((sigs[i] ^ sigs[j]) & (2**64 - 1)).bit_count()) <= limit}
+
+
+def test_band_plans_cover_the_limit():
+    for limit in range(33):
+        for n in (10, 10_000, 10_000_000):
+            parts, radius = dedup.band_plan(limit, n)
+            assert 2 <= parts <= 64 and parts * (radius + 1) > limit
+
+
 def test_bands_hold_every_bit_once():
     for parts in range(2, 65):
         assert sorted(k for low, width in dedup.band_places(parts) for k in range(low, low + width)) == list(range(64))
@@ -255,7 +275,13 @@ def test_bootstrap_is_reproducible(spark):
 
     rows = {"x": np.array([[1, 2, 10], [3, 1, 12], [0, 0, 9]])}
     a = [r["delta"] for r in scoring.paired_bootstrap(spark, rows, {"x": 1.0}, 50).orderBy("resample").collect()]
-    draw = scoring.lcg_draws('{"bucket":"x","resample":0,"schema_version":1,"seed":42}', 3, 3)
+    seed = '{"bucket":"x","resample":0,"schema_version":1,"seed":42}'
+    draw = scoring.lcg_draws(seed, scoring.lcg_jumps(3), 3)
+    state, steps = int(hashlib.sha256(seed.encode()).hexdigest()[:16], 16), []
+    for _ in range(3):
+        state = (6364136223846793005 * state + 1442695040888963407) % 2**64
+        steps.append(state % 3)
+    assert draw.tolist() == steps
     left, right, units = rows["x"][draw].sum(axis=0)
     assert a[0] == left / units - right / units and len(set(a)) > 1
 
@@ -331,7 +357,7 @@ def test_all_boxes_are_joined(spark, tmp_path):
     rng = random.Random(12)
     rows = [(k // 7, k % 7 + 1, rng.randint(1, 2), rng.randint(0, 60), float(rng.randint(1, 40)), rng.choice("ANR")) for k in range(70)]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = sorted(map(tuple, table_queries.join_j14_all_boxes(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, table_queries.join_j14_boxes(spark, str(tmp_path)).collect()))
     boxes = [(g, o * 10 + n, p, o, p + int(q), round(o + q / 2)) for o, n, g, p, q, _ in rows]
     want = []
     for a in boxes:
