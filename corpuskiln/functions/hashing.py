@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def json_string(text: Column) -> Column:
     """The text as a JSON string, other than ASCII kept as it is."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
@@ -34,3 +33,11 @@ def split_of(draw: Column, fractions: list[tuple[str, float]]) -> Column:
         result = F.when(draw < total, name) if result is None else result.when(draw < total, name)
     last = fractions[-1][0]
     return F.lit(last) if result is None else result.otherwise(last)
+
+
+def set_digest(line: Column) -> Column:
+    """An aggregate: the digest of a multiset of lines, whatever their order. It adds up parts of the lines' digests, so
+    groups of any size are combined before the shuffle and never collected."""
+    digest = F.sha2(line, 256)
+    parts = (F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16, 31, 46))
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *(F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts)), 256)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("text_queries", "table_queries", "sequence_queries", "score_queries", "stream_queries", "row_queries")
+FAMILIES = ("text_queries", "table_queries", "sequence_queries", "score_queries", "stream_queries", "row_queries", "source_queries", "token_queries")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

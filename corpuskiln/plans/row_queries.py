@@ -190,14 +190,6 @@ def order_o12_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("sample_id", keyed[0].v.alias("first_view"))
 
 
-@query("""with d as (select run_id, source, count(*) as n, count(distinct struct_pack(a := weight, b := docs, c := chars, d := est_tokens)) as k from source_stats group by run_id, source)
-    select run_id, count(*) as n_sources, count(*) filter (n > 1) as repeated, count(*) filter (k > 1) as changed from d group by run_id""")
-def join_j12_consistent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs with sources that were delivered more than once, and with different figures."""
-    rows_ = table(spark, sf_dir, "source_stats").groupBy("run_id", "source").agg(F.count("*").alias("n"), F.size(F.collect_set(F.to_json(F.struct("weight", "docs", "chars", "est_tokens"), {"ignoreNullFields": "false"}))).alias("k"))
-    return rows_.groupBy("run_id").agg(F.count("*").alias("n_sources"), F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("k") > 1).alias("changed"))
-
-
 FRACTIONS = [("train", 0.88), ("sft_validation", 0.06), ("kl_selection", 0.03), ("formal_monitor", 0.03)]
 
 
@@ -255,12 +247,3 @@ def format_f34_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     tenths = F.floor((n + F.floor(unit / 2)) / unit)
     label = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.when(n >= 1_000_000, "M").otherwise("K"))
     return table(spark, sf_dir, "documents").select("doc_id", F.when(n < 1000, n.cast("string")).otherwise(label).alias("label"))
-
-
-@query(f"""with w as (select unnest(regexp_extract_all({T}, '{P.WORD}')) as word from documents), c as (select word, count(*) as n from w group by word)
-    select round(count(*) filter (n = 1) / cast(count(*) as double), 6) as once_share, count(*) filter (n = 1) / cast(count(*) as double) <= 0.8 as passes from c""")
-def gate_g10_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the share of words that occur once is small enough."""
-    words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(X.found(X.text_of("text"), P.WORD)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    share = F.count_if(F.col("n") == 1) / F.count("*")
-    return words.agg(F.round(share, 6).alias("once_share"), (share <= 0.8).alias("passes"))

@@ -160,25 +160,6 @@ def token_t1_ascii_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.split(X.text_of("text"), r"[ \t\r\n]+"), lambda x: x != "")).alias("token"))
 
 
-@query(f"""with w as (select unnest(regexp_extract_all({T}, '{P.WORD}')) as word from documents), c as (select word, count(*) as n, regexp_matches(word, '[{P.SCRIPTS['mongolian']}]') as mn from w group by word),
-    r as (select *, row_number() over (partition by mn order by n desc, encode(word)) - 1 as i from c) select word, case when mn then 256 + i else 24576 + i end as id from r where i < case when mn then 24320 else 40960 end""")
-def token_t8_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary in segments: Mongolian words from 256, others from 24,576, the most frequent first, up to the size of
-    the segment."""
-    words = table(spark, sf_dir, "documents").select(F.explode(X.found(X.text_of("text"), P.WORD)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    mn = F.col("word").rlike(f"[{P.SCRIPTS['mongolian']}]")
-    ranked = words.withColumn("mn", mn).withColumn("i", F.row_number().over(Window.partitionBy("mn").orderBy(F.desc("n"), F.encode("word", "UTF-8"))) - 1)
-    held = ranked.where(F.col("i") < F.when(F.col("mn"), 24320).otherwise(40960))
-    return held.select("word", F.when(F.col("mn"), 256 + F.col("i")).otherwise(24576 + F.col("i")).cast("long").alias("id"))
-
-
-@query(f"select doc_id, strlen({T}) as n_bytes, upper(substr(hex(encode({T})), 1, 32)) as head, md5({T}) as digest from documents")
-def token_t9_byte_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of each text, as many tokens as a byte fallback gives."""
-    raw = F.encode(X.text_of("text"), "UTF-8")
-    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(X.text_of("text")).cast("long").alias("n_bytes"), F.substring(F.hex(raw), 1, 32).alias("head"), F.md5(raw).alias("digest"))
-
-
 @query(rf"""with t as (select doc_id, unnest(regexp_extract_all({T}, '\p{{L}}+|\p{{N}}+|[^\p{{L}}\p{{N}}]')) as w from documents)
     select case when regexp_matches(w, '^[\x{{1800}}-\x{{18af}}]') then 'mn' when regexp_matches(w, '^\p{{L}}') then 'letter' when regexp_matches(w, '^\p{{N}}') then 'number' else 'other' end as track,
     count(*) as tokens, cast(sum(length(w)) as bigint) as chars, round(sum(length(w)) / cast(count(*) as double), 6) as chars_per_token from t group by rollup (track)""")
@@ -189,14 +170,6 @@ def token_a10_chars_per_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select(track.alias("track"), F.length("w").alias("n")).rollup("track").agg(F.count("*").alias("tokens"), F.sum("n").cast("long").alias("chars"), F.round(F.sum("n") / F.count("*"), 6).alias("chars_per_token"))
 
 
-@query(f"""with v as (select text from documents), w as (select unnest(regexp_extract_all({T}, '{P.WORD}')) as word from documents), c as (select word, count(*) as n from w group by word)
-    select count(*) as vocabulary, count(*) filter (n < 5) as rare, round(count(*) filter (n < 5) / cast(count(*) as double), 6) as rare_share from c""")
-def token_a12_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of a vocabulary is hardly hit."""
-    words = table(spark, sf_dir, "documents").select(F.explode(X.found(X.text_of("text"), P.WORD)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return words.agg(F.count("*").alias("vocabulary"), F.count_if(F.col("n") < 5).alias("rare"), F.round(F.count_if(F.col("n") < 5) / F.count("*"), 6).alias("rare_share"))
-
-
 @query("""with c as (select sample_id, len(reference_model.codepoints) as n, length(reference_model.text) as m, reference_token_count as k, list_aggregate(list_transform(reference_model.codepoints, lambda x: chr(x)), 'string_agg', '') = reference_model.text as same from samples where reference_model.text is not null)
     select count(*) as n_rows, count(*) filter (n <> m) as wrong_length, count(*) filter (not same) as wrong_text, count(*) filter (k is null) as no_count from c""")
 def gate_g9_row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,14 +202,6 @@ def scan_s21_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strided.select("doc_id", F.floor(F.col("i") / 7).alias("kept_idx"))
 
 
-@query("""with f as (select source, row_number() over (order by source) - 1 as i, count(*) over () as n from mix_sources)
-    select source, i % 8 as rank, i // 8 % 2 as worker from f""")
-def scan_s26_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards dealt to ranks, then to the workers of each."""
-    idx = F.row_number().over(Window.orderBy("source")) - 1
-    return table(spark, sf_dir, "mix_sources").select("source", idx.cast("long").alias("i")).select("source", F.pmod("i", F.lit(8)).alias("rank"), F.pmod(F.floor(F.col("i") / 8), F.lit(2)).alias("worker"))
-
-
 @query("select source, doc_id from documents where source is not null qualify row_number() over (partition by source order by doc_id) <= greatest(200 // (select count(distinct source) from documents), 1)")
 def scan_s27_even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 200 rows, spread evenly over the files."""
@@ -237,18 +229,6 @@ def scan_s4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(fields).alias("x")).select("doc_id", "x.field")
 
 
-@query("with n as (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) select i // 100 as shard, count(*) as n, min(doc_id) as first, max(doc_id) as last from n group by 1")
-def sink_k3_row_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards of 100 rows each."""
-    numbered = S.row_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return numbered.groupBy(F.floor(F.col("idx") / 100).alias("shard")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-
-
-@query("select source, regexp_replace(path, '[^0-9A-Za-z._-]', '_', 'g') as shard from mix_sources")
-def sink_k6_shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "mix_sources").select("source", F.regexp_replace("path", "[^0-9A-Za-z._-]", "_").alias("shard"))
-
-
 @query("""with n as (select doc_id, source, row_number() over (partition by source order by doc_id) as rn, coalesce(length(text), 0) as n from documents where source is not null)
     select doc_id, case when n = 0 then 'empty' when n > 2000 then 'over_length' when doc_id % 10 = 0 and rn > 20 then 'val_cap' when doc_id % 10 = 0 then 'val' else 'train' end as route from n""")
 def gate_g8_admission(spark: SparkSession, sf_dir: str) -> DataFrame:

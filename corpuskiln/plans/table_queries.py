@@ -125,15 +125,6 @@ def join_j10_split_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("sample_id").agg(F.min(F.when(F.col("n") == 1, F.col("s"))).alias("locked"), (F.coalesce(F.max("n"), F.lit(0)) > 1).alias("conflict"))
 
 
-@query(r"""with t as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+')) as w from documents)
-    select doc_id, case when regexp_matches(w, '[\x{1800}-\x{18af}]') then 'mn' when regexp_matches(w, '\p{L}') then 'general' else 'number' end as track, count(*) as n from t group by all""")
-def join_j11_token_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document by the track of their script."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.found(X.text_of("text"), r"\p{L}+|\p{N}+")).alias("w"))
-    track = F.when(F.col("w").rlike(r"[\x{1800}-\x{18af}]"), "mn").when(F.col("w").rlike(r"\p{L}"), "general").otherwise("number")
-    return words.select("doc_id", track.alias("track")).groupBy("doc_id", "track").agg(F.count("*").alias("n"))
-
-
 @query("""select s.sample_id, s.raw_relpath from (select distinct sample_id, raw_relpath from sources) s where not exists (select 1 from reviews r where r.sample_id = s.sample_id and r.raw_sha256 is not null)""")
 def join_j13_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows whose file no review has a digest of."""

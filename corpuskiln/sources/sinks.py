@@ -5,10 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.hashing import set_digest
 from ..operators.sequence import prefix_sum, row_index
 
 
@@ -38,6 +43,72 @@ def token_shards(df: DataFrame, order: str, size: str, budget: int) -> DataFrame
     return prefix_sum(df, order, F.col(size), "_before").withColumn("shard", F.floor(F.col("_before") / budget)).drop("_before")
 
 
+def rotated(rows: Iterable[int], most: int, budget: int) -> Iterator[int]:
+    """The shard of each row in order, by its tokens: a new one after `most` rows, or where the row would exceed the token
+    budget, but never before the first row of a shard."""
+    shard = held = tokens = 0
+    for size in rows:
+        if held and (held >= most or tokens + size > budget):
+            shard, held, tokens = shard + 1, 0, 0
+        held, tokens = held + 1, tokens + size
+        yield shard
+
+
+def rotating_shards(df: DataFrame, by: str, order: str, size: str, most: int, budget: int) -> DataFrame:
+    """(by, order, shard): the rotation of the rows of each writer `by` in order. It is sequential, so a writer is one task
+    and its rows should be bounded; `token_shards` has no such bound."""
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order)
+        return pd.DataFrame({by: group[by], order: group[order], "shard": pd.Series(rotated(group[size].tolist(), most, budget), index=group.index, dtype="int64")})
+
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, shard long"
+    return df.select(by, order, size).groupBy(by).applyInPandas(fold, schema)
+
+
+def shard_name(unit: Column | str) -> Column:
+    """The name of a unit's file: everything but letters, digits, dots, dashes and underscores becomes an underscore."""
+    return F.regexp_replace(unit, "[^0-9A-Za-z._-]", "_")
+
+
+def write_units(df: DataFrame, path: str, unit: str) -> None:
+    """The rows of every unit in a folder of its name."""
+    df.withColumn("shard", shard_name(F.col(unit))).write.partitionBy("shard").mode("error").parquet(path)
+
+
+def write_report(spark: SparkSession, facts: dict, path: str) -> None:
+    """A report as one JSON file in any store, written whole before it has its name."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    place = fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = store.create(held, False)
+    try:
+        stream.write(bytearray(canonical_json(facts)))
+    finally:
+        stream.close()
+    if store.exists(place) or not store.rename(held, place):
+        store.delete(held, False)
+        raise FileExistsError(path)
+
+
+def shard_states(shards: DataFrame, sentinels: DataFrame, on: list[str], facts: list[str]) -> DataFrame:
+    """(on, state) of every shard against its sentinel: missing where it has none, changed where they differ in one of the
+    `facts`, several where the sentinel is not unique, else complete."""
+    marks = sentinels.groupBy(*on).agg(F.count("*").alias("_marks"), *(F.first(f).alias(f"_of_{f}") for f in facts))
+    same = reduce(lambda a, b: a & b, (F.col(f).eqNullSafe(F.col(f"_of_{f}")) for f in facts))
+    state = F.when(F.col("_marks").isNull(), "missing").when(F.col("_marks") > 1, "several").when(same, "complete").otherwise("changed")
+    return shards.join(marks, on, "left").select(*on, state.alias("state"))
+
+
+def listing_signature(files: DataFrame, **facts) -> DataFrame:
+    """(signature, n_files, n_bytes) of a listing (path, size and, if it counts, modified): equal as long as no file and no
+    fact changes, so a run with the signature of the last one can be skipped."""
+    modified = [F.col("modified").cast("string")] if "modified" in files.columns else []
+    whole = files.agg(set_digest(F.concat_ws("\0", "path", F.col("size").cast("string"), *modified)).alias("d"), F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"))
+    return whole.select(F.sha2(F.concat("d", F.lit(canonical_json(facts).decode())), 256).alias("signature"), "n_files", "n_bytes")
+
+
 def fan_out(df: DataFrame, path: str, routes: str = "route") -> None:
     """Every route into its own folder in one pass."""
     df.write.partitionBy(routes).mode("error").parquet(path)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuskiln.functions import text as X
-from corpuskiln.operators import chunks, components, dedup, joins, planning, scoring, sequence
+from corpuskiln.operators import chunks, components, dedup, joins, planning, scoring, sequence, tokens
 from corpuskiln.plans import row_queries, table_queries
 from corpuskiln.sources import readers, sinks
 
@@ -423,3 +423,146 @@ def test_truncation_of_overlapping_spans(spark):
     df = spark.createDataFrame([(list(range(12)), [(2, 5), (4, 9)], ["a", "b"])], "c array<int>, s array<struct<start:int,end:int>>, p array<string>")
     r = df.select(sequence.truncated(F.col("c"), F.col("s"), F.col("p"), 8).alias("r")).first()["r"]
     assert (r["c"], r["spans"], r["payloads"]) == ([0, 1], [], [])
+
+
+def test_archives_are_read_as_streams(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    with tarfile.open(tmp_path / "shard-3.tar", "w") as archive:
+        for name in ("a.png", "a.json", "b.json", "b.png", "c.png", "d.json", "d.json", "d.png", "e.txt"):
+            info = tarfile.TarInfo(name)
+            info.size = 2
+            archive.addfile(info, io.BytesIO(b"{}"))
+    path = str(tmp_path / "*.tar")
+    assert sorted(r["stem"] for r in readers.tar_pairs(spark, path).collect()) == ["a", "b", "d"]
+    assert [(r["pairs"], r["orphans"]) for r in readers.tar_counts(spark, path).collect()] == [(3, 2)]
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as archive:
+        archive.writestr("x.jsonl", "1\n\n2\n")
+        archive.writestr("y.txt", "3")
+    lines = readers.zip_members(spark, str(tmp_path / "z.zip"), batch=1).collect()
+    assert [r["value"] for r in lines] == ["1", "2"] and lines[0]["unit"].endswith("z.zip!x.jsonl")
+    found = readers.units(spark, [str(tmp_path)]).collect()
+    assert [(r["path"].rpartition("/")[2], r["member"]) for r in found] == [("shard-3.tar", None), ("z.zip", "x.jsonl"), ("z.zip", "y.txt")]
+    assert [r["uid"] for r in found] == [r["uid"] for r in readers.units(spark, [str(tmp_path)]).collect()]
+
+
+def test_shard_specs(spark, tmp_path):
+    for name in ("a/x.jsonl", "a/y.jsonl", "b/x.jsonl", "a/_SUCCESS", "c/t.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text('{"text": "t"}\n')
+    names = lambda spec: [f.rpartition("/")[2] for f in readers.resolve_shards(spark, spec)]
+    assert names(f"{tmp_path}/a") == ["x.jsonl", "y.jsonl"] == names([f"{tmp_path}/a/y.*", f"{tmp_path}/a/x.jsonl"])
+    for spec in ([f"{tmp_path}/a", f"{tmp_path}/a/x.jsonl"], [f"{tmp_path}/a", f"{tmp_path}/b"], f"{tmp_path}/none*"):
+        with pytest.raises(ValueError):
+            readers.resolve_shards(spark, spec)
+    assert readers.infer_format(["x.txt", "y.TXT"]) == "txt"
+    with pytest.raises(ValueError):
+        readers.infer_format(["x.txt", "y.parquet"])
+    assert readers.shard_indices("0:6:2,9") == [0, 2, 4, 9] and readers.shard_indices("3") == [3]
+    for spec in ("1,0:3", "0:4:0", "-1"):
+        with pytest.raises(ValueError):
+            readers.shard_indices(spec)
+
+
+def test_source_texts_of_every_format(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.txt").write_bytes("ᠮᠣᠩ one\r\nhttps://x.invalid\r\n\r\nab".encode("utf-16"))
+    got = [r["text"] for r in readers.source_texts(spark, str(tmp_path / "t"), min_chars=3, strip_urls=True).collect()]
+    assert got == ["ᠮᠣᠩ one"]
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.jsonl").write_text('{"text": " x "}\n"bare"\nbroken\n{"text": ""}\n')
+    assert sorted(r["text"] for r in readers.source_texts(spark, str(tmp_path / "j")).collect()) == ["bare", "x"]
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "p.json").write_text('{"data": [{"q": "1", "a": "2"}, {"q": "", "a": "3"}]}')
+    (tmp_path / "b" / "t.txt").write_text("line\n\n")
+    rows = readers.bundle(spark, str(tmp_path / "b"), [("p.json", "array", ["q", "a"]), ("t.txt", "text", [])])
+    assert sorted((r["part"], r["field"], r["text"]) for r in rows.collect()) == [("p.json", "a", "2"), ("p.json", "a", "3"), ("p.json", "q", "1"), ("t.txt", "text", "line")]
+
+
+def test_fewer_shards_than_ranks_are_given_to_all(spark):
+    three = spark.range(3).withColumnRenamed("id", "i")
+    assert {(r["i"], r["rank"]) for r in readers.dealt_shards(three, "i", 5, 2).collect()} == {(i, k) for i in range(3) for k in range(5)}
+    assert {(r["i"], r["rank"], r["worker"]) for r in readers.dealt_shards(three, "i", 2, 2).collect()} == {(0, 0, 0), (1, 1, 0), (2, 0, 1)}
+    with pytest.raises(ValueError):
+        readers.dealt_shards(three.limit(0), "i", 2)
+
+
+def test_rotation_and_states_and_reports(spark, tmp_path):
+    assert list(sinks.rotated([5, 5, 5, 50, 1, 1, 1, 1], 3, 12)) == [0, 0, 1, 2, 3, 3, 3, 4]
+    shards = spark.createDataFrame([("a", 1), ("b", 2), ("c", None), ("d", 4)], "s string, n int")
+    marks = spark.createDataFrame([("a", 1), ("b", 3), ("c", None), ("d", 4), ("d", 4)], "s string, n int")
+    states = {r["s"]: r["state"] for r in sinks.shard_states(shards, marks.union(spark.createDataFrame([("z", 1)], marks.schema)), ["s"], ["n"]).collect()}
+    assert states == {"a": "complete", "b": "changed", "c": "complete", "d": "several"}
+    assert sinks.shard_states(shards, marks.limit(0), ["s"], ["n"]).where("state = 'missing'").count() == 4
+    path = f"file://{tmp_path}/report.json"
+    sinks.write_report(spark, {"b": 1, "a": "ä"}, path)
+    assert (tmp_path / "report.json").read_bytes() == '{"a":"ä","b":1}'.encode()
+    with pytest.raises(FileExistsError):
+        sinks.write_report(spark, {}, path)
+    files = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size long")
+    one, other = (sinks.listing_signature(f, seed=s).first()["signature"] for f, s in ((files, 1), (files.repartition(2).orderBy("size"), 1)))
+    assert one == other != sinks.listing_signature(files, seed=2).first()["signature"]
+    assert sinks.listing_signature(files.limit(0)).first()["n_files"] == 0
+
+
+def test_two_tracks_round_trip(spark):
+    texts = ["ᠮᠣᠩᠭᠣᠯ ᠪᠢᠴᠢᠭ ᠦᠨ the cat, the cat!", "the\n\tcat 漢字 é😀", "", None, " ", "ᠮᠣᠩᠭᠣᠯ"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = spark.createDataFrame([("the", 3), ("cat", 3), ("ᠮᠣᠩᠭᠣᠯ", 2), ("rare", 1)], "word string, n long")
+    known = tokens.unified_vocabulary(counts, 2)
+    assert {(r["word"], r["id"]) for r in known.collect()} == {("cat", 24576), ("the", 24577), ("ᠮᠣᠩᠭᠣᠯ", 256)}
+    assert tokens.round_trips(df, "doc_id", "text", known).where("same").count() == 6
+    ids = {r["doc_id"]: r["ids"] for r in tokens.encode_ids(df, "doc_id", "text", known).collect()}
+    assert set(ids) == {0, 1, 4, 5} and ids[5] == [256] and ids[4] == [32] and ids[1][:3] == [24577, 10, 9]
+    spans = [r for r in tokens.encode_spans(df, "doc_id", "text", known).where("doc_id = 0").orderBy("at").collect()]
+    assert "".join(r["piece"] for r in spans) == texts[0] and [r["track"] for r in spans][:3] == ["mn", "general", "mn"]
+    assert all(a["end"] == b["start"] for a, b in zip(spans, spans[1:])) and spans[0]["start"] == 0
+    report = {r["track"]: r for r in tokens.hit_report(tokens.encode_spans(df, "doc_id", "text", known)).collect()}
+    assert report["mn"]["word_hits"] == 2 and report["mn"]["n_pieces"] == 3
+
+
+def test_decoding_of_completions(spark):
+    known = spark.createDataFrame([("ab", 300), ("c", 301)], "word string, id long")
+    rows = [(1, [300, 0xE2, 0x82, 0xAC, 301]), (2, [300, 0xE2, 7]), (3, [300, 5000]), (4, [300, 2, 301]), (5, None), (6, [])]
+    df = spark.createDataFrame(rows, "k long, ids array<long>")
+    got = {r["k"]: r["text"] for r in tokens.decode_ids(df, "k", "ids", known).collect()}
+    assert got == {1: "ab€c", 2: "ab�\x07", 3: "ab�", 4: "ab\x02c", 5: "", 6: ""}
+    ended = {r["k"]: r["text"] for r in tokens.decode_ids(df, "k", "ids", known, eos=2, unfinished=True).collect()}
+    assert ended[4] == "ab" and ended[1] == "ab€c�" and ended[6] == "�"
+    chunks = spark.createDataFrame([(1, [b"a\xe2", b"\x82", b"\xacb"]), (2, [b"\xe2"]), (3, None)], "k long, c array<binary>")
+    assert {r["k"]: r["pieces"] for r in tokens.stream_decode(chunks, "k", "c").collect()} == {1: ["a", "", "€b"], 2: ["", "�"], 3: []}
+
+
+def test_a_full_segment_raises(spark):
+    counts = spark.range(40_961).select(F.concat(F.lit("w"), "id").alias("word"), F.lit(1).cast("long").alias("n"))
+    with pytest.raises(Exception, match="full"):
+        tokens.unified_vocabulary(counts).collect()
+    assert tokens.unified_vocabulary(counts.where("id > 0")).agg(F.max("id")).first()[0] == 65_535
+
+
+def test_merges_keep_to_boundaries(spark):
+    merges = [("a", "b"), ("ab", "a"), ("c", "d"), ("ab", "cd"), ("a", "᠋")]
+    ranks = {pair: k for k, pair in enumerate(merges)}
+    assert tokens.constrained_merges("ababcd", ranks) == ["ab", "abcd"]
+    assert tokens.constrained_merges("abcd", ranks) == ["abcd"]
+    assert tokens.constrained_merges("abcd", ranks, frozenset({2})) == ["ab", "cd"]
+    assert tokens.constrained_merges("a᠋b", ranks) == ["a", "᠋", "b"]
+    assert tokens.constrained_merges("", ranks) == []
+    words = spark.createDataFrame([("abcd", [2]), ("abcd", [2]), ("aba", [1]), (None, None)], "word string, cuts array<int>")
+    got = tokens.encode_words(words, merges, cuts="cuts")
+    assert {r["word"]: r["tokens"] for r in got.collect()} == {"abcd": ["ab", "cd"], "aba": ["a", "b", "a"]}
+    joined = got.join(words.distinct().withColumnRenamed("cuts", "boundaries"), "word")
+    recall = tokens.boundary_recall(joined).first()
+    assert (recall["n_boundaries"], recall["n_kept"], recall["recall"]) == (2, 2, 1.0)
+
+
+def test_frequency_rank_is_the_order_by_count_and_bytes(spark):
+    rng = random.Random(9)
+    words = list({"".join(rng.choice("abᠣé") for _ in range(rng.randint(1, 5))) for _ in range(200)})
+    rows = [("g" if rng.random() < 0.8 else "h", w, rng.randint(1, 3)) for w in words]
+    got = {(r["g"], r["word"]): r["rank"] for r in tokens.frequency_rank(spark.createDataFrame(rows, "g string, word string, n long"), "g").collect()}
+    for group in "gh":
+        order = sorted((w for g, w, _ in rows if g == group), key=lambda w: (-next(n for g, x, n in rows if x == w), w.encode()))
+        assert [got[group, w] for w in order] == list(range(len(order)))
