@@ -140,6 +140,17 @@ def native_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?<!{inside})\x{{202f}}|\x{{202f}}(?!{inside})|\x{{a0}}", " ")
 
 
+def layout_spaces(text: Column) -> Column:
+    """White space as it is laid out: runs of it as one space, narrow no-break spaces kept, the vowel separator shown as a
+    narrow no-break space."""
+    return strip(F.regexp_replace(F.translate(text, P.VOWEL_SEPARATOR, P.NARROW_SPACE), rf"[{P.SPACE}&&[^\x{{202f}}]]+", " "))
+
+
+def band(number: Column, val_min: int, test_min: int) -> Column:
+    """The band of a row by its number: test from `test_min` on, validation from `val_min` on, else training."""
+    return F.when(number >= test_min, "test").when(number >= val_min, "val").otherwise("train")
+
+
 def graphemes(text: Column) -> Column:
     """Clusters of a character and the marks and variation selectors behind it."""
     return found(text, P.GRAPHEME)

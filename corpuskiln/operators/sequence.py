@@ -15,9 +15,20 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 14
 
 
-def prefix_sum(df: DataFrame, order: str, value: Column, out: str, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """df with the sum of `value` over all rows before each, in the order of the unique integer column `order`."""
-    keyed = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / block))
+def block_width(df: DataFrame, order: str, rows: int = BLOCK) -> int:
+    """How many keys a block spans so that it has about `rows` rows: ids with gaps, or hashes, span more of them."""
+    found = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count(order).alias("n")).first()
+    if not found["n"]:
+        return rows
+    return max(rows, (int(found["high"]) - int(found["low"]) + 1) * rows // found["n"])
+
+
+def prefix_sum(df: DataFrame, order: str, value: Column, out: str, by: tuple[str, ...] = (), block: int | None = None) -> DataFrame:
+    """df with the sum of `value` over all rows before each, in the order of the unique integer column `order`. Blocks span
+    so many keys that they hold about BLOCK rows if keys are spread evenly, as dense ids and hashes are."""
+    width = block or block_width(df, order)
+    # doubles are monotonic in the key, so blocks are ranges of keys even where they round
+    keyed = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order).cast("double") / float(width)))
     keys = [*by, "_block"]
     over_blocks = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(*keys).agg(F.sum("_value").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(over_blocks), F.lit(0)))

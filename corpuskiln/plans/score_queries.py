@@ -92,11 +92,50 @@ def score_a22_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.round(F.sum(weight * F.col("rate")), 6).alias("weighted"))
 
 
-@query("""with r as (select review_id, min(sample_id) as sample_id, min(reference_raw) as pred from reviews group by review_id), s as (select sample_id, min(reference_model.text) as ref from samples group by sample_id)
-    select review_id, round(least(1.0, greatest(0.0, (cast(length(pred) as double) / greatest(length(ref), 1) - 1.0) / 1.0)), 6) as penalty from r join s using (sample_id) where pred is not null and ref is not null""")
+def _graphemes(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '{P.GRAPHEME}'))"
+
+
+@query(f"""with r as (select review_id, min(sample_id) as sample_id, min(reference_raw) as pred from reviews group by review_id), s as (select sample_id, min(reference_model.text) as ref from samples group by sample_id)
+    select review_id, round(least(1.0, greatest(0.0, (cast({_graphemes('pred')} as double) / greatest({_graphemes('ref')}, 1) - 1.0) / 1.0)), 6) as penalty from r join s using (sample_id) where pred is not null and ref is not null""")
 def score_f24_length_excess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much longer a transcription is than its reference, clamped."""
-    return pairs(spark, sf_dir).select("review_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.length("pred") / F.greatest(F.length("ref"), F.lit(1)) - 1)), 6).alias("penalty"))
+    """How many more graphemes a transcription has than its reference, clamped."""
+    ratio = X.count(F.col("pred"), P.GRAPHEME) / F.greatest(X.count(F.col("ref"), P.GRAPHEME), F.lit(1))
+    return pairs(spark, sf_dir).select("review_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ratio - 1)), 6).alias("penalty"))
+
+
+DEPLOYED = {"print": 0.6, "handwritten_good": 0.1, "handwritten_medium": 0.2, "handwritten_poor": 0.1}
+
+
+@query()
+def score_a20_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report of all pairs: error rates and exact matches of those that are not rejected (blank transcriptions are),
+    and the share of rejected ones."""
+    rows = pairs(spark, sf_dir).withColumn("rejected", X.strip(F.col("pred")) == "")
+    scored = scoring.error_rates(rows.where("not rejected").withColumn("all", F.lit("all")), ["all"])
+    counts = rows.agg(F.count("*").alias("n_pairs"), F.count_if("rejected").alias("n_rejected")).withColumn("all", F.lit("all"))
+    return counts.join(scored, "all", "left").withColumn("rejection_rate", F.round(F.col("n_rejected") / F.col("n_pairs"), 6)).drop("all")
+
+
+@query()
+def score_a21_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates by bucket, the mean weighted by what is deployed, over the buckets there are, and the worst bucket."""
+    rates = scoring.error_rates(pairs(spark, sf_dir).where(F.col("bucket").isin(*DEPLOYED)), ["bucket"])
+    weight = F.lit(0.0)
+    for name, share in DEPLOYED.items():
+        weight = F.when(F.col("bucket") == name, share).otherwise(weight)
+    every = Window.partitionBy(F.lit(0))  # a row for each bucket
+    weighed = rates.withColumn("weight", weight)
+    worst = F.max(F.struct("cer", "bucket")).over(every)["bucket"]
+    return weighed.withColumn("weighted_cer", F.round(F.sum(F.col("weight") * F.col("cer")).over(every) / F.sum("weight").over(every), 6)).withColumn("worst", F.col("bucket") == worst)
+
+
+@query()
+def score_a24_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean length of the transcriptions of each bucket with its interval by 2,000 resamples. Rows of one value are
+    exchangeable, so a resample draws how often each value occurs."""
+    rows = pairs(spark, sf_dir).where("bucket is not null").select("bucket", F.length("pred").alias("v"))
+    return scoring.mean_intervals(rows, "bucket", "v")
 
 
 # mixing by the first rows of each source, as the plain plan does

@@ -53,16 +53,17 @@ def join_j2_orphan_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "reviews").where("sample_id is not null").select("sample_id").distinct().join(table(spark, sf_dir, "samples").select("sample_id"), "sample_id", "left_anti")
 
 
-@query("""with v as (select sample_id, asset_id, unnest(view_ids) as view_id from samples)
-    select distinct v.sample_id, v.view_id from v where replace(v.asset_id, 'asset-', 'view-') <> substr(v.view_id, 1, 14)
-    or not exists (select 1 from sources s where s.sample_id = v.sample_id)""")
+@query("""with v as (select distinct sample_id, asset_id, view_id from (select sample_id, asset_id, unnest(view_ids) as view_id from samples)), k as (select view_id, count(distinct sample_id) as owners from v group by view_id)
+    select case when v.sample_id not in (select sample_id from sources where sample_id is not null) then 'orphan' when replace(v.asset_id, 'asset-', 'view-') <> substr(v.view_id, 1, 14) then 'asset' when owners > 1 then 'shared' else 'ok' end as state, count(*) as n from v join k using (view_id) group by 1""")
 def join_j3_view_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views that do not belong to the asset of their sample, or whose sample is not in the inventory."""
-    views = table(spark, sf_dir, "samples").select("sample_id", "asset_id", F.explode("view_ids").alias("view_id"))
+    """Views by the state of their keys: of a sample that is not in the inventory, of another asset than their sample, of
+    more than one sample, or in order."""
+    views = table(spark, sf_dir, "samples").select("sample_id", "asset_id", F.explode("view_ids").alias("view_id")).distinct()
+    owners = views.groupBy("view_id").agg(F.countDistinct("sample_id").alias("owners"))
     known = table(spark, sf_dir, "sources").select("sample_id", F.lit(True).alias("known")).distinct()
-    joined = views.join(known, "sample_id", "left")
-    wrong = F.replace(F.col("asset_id"), F.lit("asset-"), F.lit("view-")) != F.substring("view_id", 1, 14)
-    return joined.where(wrong | F.col("known").isNull()).select("sample_id", "view_id").distinct()
+    joined = views.join(known, "sample_id", "left").join(owners, "view_id")
+    other = F.replace(F.col("asset_id"), F.lit("asset-"), F.lit("view-")) != F.substring("view_id", 1, 14)
+    return joined.groupBy(F.when(F.col("known").isNull(), "orphan").when(other, "asset").when(F.col("owners") > 1, "shared").otherwise("ok").alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("""select distinct sample_id, len(view_ids) as n_views, coalesce(list_sort(view_ids) = list_sort(reading_order), false) as complete from samples""")
@@ -396,9 +397,34 @@ def count_a30_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.min("n_chars").alias("low"), F.expr("percentile_disc(0.5) within group (order by n_chars)").cast("long").alias("median"), F.round(F.percentile("n_chars", 0.95), 6).alias("p95"), F.max("n_chars").alias("high"), F.sum("n_chars").alias("total"))
 
 
-@query("select lang, count(*) as n, sum(n_chars) as numerator, round(sum(n_chars) / cast(count(*) as double), 6) as mean, min(n_chars) as low, max(n_chars) as high from documents where n_chars > 0 group by lang".replace("sum(n_chars) as numerator", "cast(sum(n_chars) as bigint) as numerator"))
+@query("""with s as (select distinct split, sample_id, group_ids.document_id as d, reference_token_count as k from samples where split is not null)
+    select split, count(*) as n_samples, count(distinct d) as n_docs, cast(sum(k) as bigint) as numerator, count(k) as denominator, min(k) as low, max(k) as high from s group by split""")
 def count_a9_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("n_chars > 0").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("numerator"), F.round(F.avg("n_chars"), 6).alias("mean"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    """Samples, documents and tokens of each split; the mean as numerator and denominator."""
+    rows = table(spark, sf_dir, "samples").where("split is not null").select("split", "sample_id", F.col("group_ids.document_id").alias("d"), F.col("reference_token_count").alias("k")).distinct()
+    return rows.groupBy("split").agg(F.count("*").alias("n_samples"), F.countDistinct("d").alias("n_docs"), F.sum("k").alias("numerator"), F.count("k").alias("denominator"), F.min("k").alias("low"), F.max("k").alias("high"))
+
+
+@query("""with s as (select split, reference_token_count as k from samples where split is not null and reference_token_count is not null),
+    r as (select split, k, row_number() over (partition by split order by k) - 1 as i, count(*) over (partition by split) as n from s), q as (select unnest([0.5, 0.9, 0.99]) as p)
+    select split, p, k as value from r, q where i = cast(round_even((n - 1) * p, 0) as bigint)""")
+def count_f30_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest-rank percentiles of token counts by split. Equal values are counted first, so only distinct values of a split
+    meet, however many rows it has."""
+    held = table(spark, sf_dir, "samples").where("split is not null and reference_token_count is not null").groupBy("split", F.col("reference_token_count").alias("k")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("split").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = held.withColumn("upto", upto).withColumn("n", F.sum("c").over(Window.partitionBy("split"))).withColumn("p", F.explode(F.array(*map(F.lit, (0.5, 0.9, 0.99)))))
+    at = F.rint((F.col("n") - 1) * F.col("p"))
+    return ranked.where((at >= F.col("upto") - F.col("c")) & (at < F.col("upto"))).select("split", F.col("p").cast("decimal(3,2)").alias("p"), F.col("k").alias("value"))
+
+
+@query("""with r as (select sample_id, reference_model.codepoints as c, updated_at from samples where reference_model.codepoints is not null qualify row_number() over (partition by sample_id order by updated_at) = 1),
+    h as (select c from r order by sample_id limit 500) select count(*) as n_rows, cast(sum(len(c)) as bigint) as tokens, cast(sum(len(list_filter(c, lambda x: x >= 6144))) as bigint) as supervised, round(sum(len(list_filter(c, lambda x: x >= 6144))) / cast(sum(len(c)) as double), 6) as rate from h""")
+def count_a8_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supervised tokens among those of the first 500 rows, labels unshifted: the head is the feature of this report."""
+    head = table(spark, sf_dir, "samples").where("reference_model.codepoints is not null").groupBy("sample_id").agg(F.min_by(F.col("reference_model.codepoints"), "updated_at").alias("c")).orderBy("sample_id").limit(500)
+    supervised = F.sum(F.size(F.filter("c", lambda x: x >= 6144)))
+    return head.agg(F.count("*").alias("n_rows"), F.sum(F.size("c")).alias("tokens"), supervised.alias("supervised"), F.round(supervised / F.sum(F.size("c")), 6).alias("rate"))
 
 
 @query("""select event_id, user_id, round(case when max(value) over w - min(value) over w <= 0.5 then 0.0 else (value - avg(value) over w) / (stddev_pop(value) over w + 1e-6) end, 5) as advantage

@@ -100,6 +100,7 @@ for name, make, sql in (
     ("text_p11_nominal_fold", X.nominal_fold,
      rf"replace(regexp_replace({T}, '[\x{{180b}}-\x{{180d}}\x{{180f}}\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g'), chr(8239), chr(6158))"),
     ("text_p12_native_spaces", X.native_spaces, None),
+    ("text_p13_layout", X.layout_spaces, None),
 ):
     QUERIES[name] = _digest(name, make)
     if sql:
@@ -256,9 +257,10 @@ def gate_g6_byte_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate_g7_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows by band: the last ids test, those before them validation, the rest training."""
-    band = F.when(F.col("doc_id") >= 1200, "test").when(F.col("doc_id") >= 1000, "val").otherwise("train")
-    return docs(spark, sf_dir).select(band.alias("band")).groupBy("band").agg(F.count("*").alias("n"))
+    """Every row with its band: ids from 97 % of the largest on are test, from 94 % on validation, the rest training."""
+    rows = docs(spark, sf_dir).select("doc_id")
+    high = rows.agg(F.max("doc_id")).first()[0] or 0
+    return rows.select("doc_id", X.band(F.col("doc_id"), high * 94 // 100, high * 97 // 100).alias("band"))
 
 
 def a1_quality_dedup_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +295,7 @@ SQL |= {
     "gate_g5_min_length": f"""select doc_id, length(clean) as n_chars from (select doc_id, coalesce(min_chars, 1) as min_chars,
         case when coalesce(strip_url_lines, false) then {_URLLESS} else {_sql_strip(T)} end as clean from documents join mix_sources using (source)) where length(clean) >= greatest(min_chars, 1)""",
     "gate_g6_byte_length": "select doc_id, strlen(text) as n_bytes from documents where text <> '' and strlen(text) <= 600",
-    "gate_g7_bands": "select case when doc_id >= 1200 then 'test' when doc_id >= 1000 then 'val' else 'train' end as band, count(*) as n from documents group by all",
+    "gate_g7_bands": "with h as (select max(doc_id) as high from documents) select doc_id, case when doc_id >= high * 97 // 100 then 'test' when doc_id >= high * 94 // 100 then 'val' else 'train' end as band from documents, h",
     "a1_quality_dedup_report": f"""with r as (select doc_id, lang, {SQL_REASON} as reason, sha1({_sql_collapse(T)}) as key from documents),
         f as (select *, case when reason is null and doc_id <> min(doc_id) filter (reason is null) over (partition by key) then 'duplicate' else reason end as final from r)
         select lang, count(*) as total, count(*) filter (final is null) as kept, {", ".join(f"count(*) filter (final = '{x}') as drop_{x}" for x in ("too_short", "repeated_lines", "symbol_spam", "word_len", "boilerplate", "duplicate"))} from f group by lang""",
