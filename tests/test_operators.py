@@ -15,6 +15,7 @@ from corpuskiln.functions import text as X
 from corpuskiln.operators import chunks, components, dedup, joins, planning, scoring, sequence, tokens
 from corpuskiln.plans import row_queries, table_queries
 from corpuskiln.sources import readers, sinks
+from corpuskiln.streaming import streams
 
 ALPHABET = "aAé bᠠᠡ᠋ 文。\n\t .,1²x"
 
@@ -566,3 +567,30 @@ def test_frequency_rank_is_the_order_by_count_and_bytes(spark):
     for group in "gh":
         order = sorted((w for g, w, _ in rows if g == group), key=lambda w: (-next(n for g, x, n in rows if x == w), w.encode()))
         assert [got[group, w] for w in order] == list(range(len(order)))
+
+
+def test_passes_have_orders_of_their_own_and_resume(spark):
+    rows = spark.createDataFrame([(k,) for k in range(30)] * 2, "id long")
+    whole = streams.passes(rows, "id", 3, 0, 2).orderBy("pass", "at").collect()
+    first, second = ([r["id"] for r in whole if r["pass"] == p] for p in (0, 1))
+    assert sorted(first) == sorted(second) == list(range(30)) and first != second
+    rest = streams.passes(rows, "id", 3, 0, 2, after=(0, 27)).orderBy("pass", "at").collect()
+    assert [r["id"] for r in rest] == first[28:] + second
+    left = streams.fast_forward(streams.passes(rows, "id", 3, 0, 1), "at", 2, 3, 4).orderBy("at").collect()
+    assert [r["id"] for r in left] == first[24:] and left[0]["batch"] == 6
+    mixed = streams.mixed({"a": (rows, 3.0), "b": (rows, 1.0)}, "id", 1).orderBy("due", "source").limit(20).collect()
+    assert sum(r["source"] == "a" for r in mixed) == 15
+
+
+def test_a_sampler_prepares_the_same_batch_until_it_is_committed(spark, tmp_path):
+    ordered = streams.passes(spark.range(10), "id", 1, 0, 1)
+    sampler = streams.TransactionalSampler(ordered, "at", 4, streams.Ledger(spark, f"file://{tmp_path}/ledger"))
+    ids = lambda s: sorted(r["id"] for r in s.prepare().collect())
+    first = ids(sampler)
+    assert first == ids(sampler) and len(first) == 4
+    twin = streams.TransactionalSampler(ordered, "at", 4, streams.Ledger(spark, f"file://{tmp_path}/ledger"))
+    assert sampler.commit() == 0
+    with pytest.raises(RuntimeError):
+        twin.commit()
+    again = streams.TransactionalSampler(ordered, "at", 4, streams.Ledger(spark, f"file://{tmp_path}/ledger"))
+    assert again.next == 1 and ids(again) == ids(sampler) and not set(first) & set(ids(again))
