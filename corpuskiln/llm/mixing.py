@@ -3,8 +3,9 @@
 Each source asks for a number of tokens; each unit (a document, or a whole source of a planned run) gets a rate, how
 often it is repeated on average, between 0 and the cap. Of all rates that give every source its tokens the closest to 1
 (in relative entropy) are exponentially tilted: rate = exp(lambda * size / mean size), cut at the cap. The dual is convex
-and one lambda for each source solves it: Newton steps from 0 on the logarithm of the tokens, guarded by a bracket, run as
-aggregations over all units at once. Units of one source and size are exchangeable and are counted together first, so a
+and one lambda for each source solves it: Newton steps on the logarithm of the tokens, guarded by a bracket, run as
+aggregations over all units at once. They start where equal rates would meet the target, which is the solution where all
+units of a source are of one size, as a planned source is. Units of one source and size are exchangeable and are counted together first, so a
 step reads sizes, not documents. A source whose target is more than the cap times its size has no solution: its dual
 is unbounded. The steps then drive all its rates to the cap while the target stays ahead; it is reported as exhausted.
 Rates are rounded to copies systematically along the sizes of a source, so that its tokens miss the target by about one
@@ -48,19 +49,20 @@ def balance(units: DataFrame, asked: DataFrame, keys: list[str], rounds: int = 8
     """The dual solution of every source of `asked` (`keys`, target, cap), for `units` (`keys`, size).
 
     Columns: keys, target, cap, available (tokens of its units), n_units, mean (size), lam, gap, state: `solved`,
-    `exhausted` (the target is above the cap times what is available: all rates are the cap), `empty` (nothing is asked)
-    or `unsolved` (not within LOOSE of the target after all rounds). `gap` is the expected tokens over the target, less 1.
+    `exhausted` (the target is above the cap times what is available: all rates are the cap), `full` (it is just that much:
+    they are the cap too), `empty` (nothing is asked) or `unsolved` (not within LOOSE of the target after all rounds). `gap` is the expected tokens over the target, less 1.
     Units of unknown sources, null sizes and sizes not above 0 count for nothing; a null target is 0.
     """
     held = staged(units.where("size > 0").groupBy(*keys, "size").agg(F.count("*").alias("n")))
     sums = held.groupBy(*keys).agg(F.sum(F.col("n") * F.col("size")).alias("available"), F.sum("n").alias("n_units"))
+    reach = F.col("cap") * F.col("available")
     start = asked.withColumn("target", F.coalesce("target", F.lit(0.0))).join(sums, keys, "left").na.fill(0.0, ["available"]).na.fill(0, ["n_units"])
     start = start.withColumn("mean", F.when(F.col("n_units") > 0, F.col("available") / F.col("n_units")))
-    state = F.when(F.col("target") <= 0, "empty").when(F.col("n_units") == 0, "exhausted").otherwise("open")
-    start = start.withColumn("state", state).withColumn("lam", F.when(F.col("state") == "open", 0.0)).withColumn("gap", F.when(F.col("state") == "exhausted", -1.0))
+    state = F.when(F.col("target") <= 0, "empty").when(F.col("n_units") == 0, "exhausted").when((F.col("target") <= reach) & (F.col("target") >= reach * (1 - 1e-12)), "full").otherwise("open")
+    start = start.withColumn("state", state).withColumn("lam", F.when(F.col("state") == "open", F.log(F.col("target") / F.col("available")))).withColumn("gap", F.when(F.col("state") == "exhausted", -1.0).when(F.col("state") == "full", 0.0))
     now = staged(start.withColumn("lo", F.lit(-1e6)).withColumn("hi", F.lit(1e6)))
     rate = tilted(F.col("lam"), F.col("size"), F.col("mean"), F.col("cap"))
-    target, reach = F.col("target"), F.col("cap") * F.col("available")
+    target = F.col("target")
     for _ in range(rounds):
         at_work = now.where("state = 'open'")
         if at_work.isEmpty():
@@ -93,7 +95,7 @@ def tilted(lam: Column, size: Column, mean: Column, cap: Column) -> Column:
 
 def rate_of(size: Column) -> Column:
     """The rate of a unit next to the solution of its source."""
-    return F.when(F.col("state") == "exhausted", F.col("cap")).when(F.col("state") == "empty", 0.0).when(size > 0, tilted(F.col("lam"), size, F.col("mean"), F.col("cap"))).otherwise(F.least(F.lit(1.0), F.col("cap")))
+    return F.when(F.col("state").isin("exhausted", "full"), F.col("cap")).when(F.col("state") == "empty", 0.0).when(size > 0, tilted(F.col("lam"), size, F.col("mean"), F.col("cap"))).otherwise(F.least(F.lit(1.0), F.col("cap")))
 
 
 def plan_runs(stats: DataFrame, runs: DataFrame) -> DataFrame:
