@@ -128,6 +128,30 @@ def near_pairs(sigs: DataFrame, limit: int, key: str = "doc_id", sig: str = "sig
     return pairs.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "dist").distinct()
 
 
+def dedup_state(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """Write what deduplication has to remember of a batch, or add it to what is there: exact keys and signatures."""
+    df.select(X.exact_key(X.text_of(text)).alias("exact_key")).distinct().write.mode("append").parquet(f"{path}/exact_keys")
+    signatures(df, key, text).select("n_terms", "sig").distinct().write.mode("append").parquet(f"{path}/signatures")
+
+
+def new_rows(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 3, min_terms: int = 120) -> DataFrame:
+    """(key, reason) of every row of a new batch against the state at `path` and the batch itself: null if it is kept, else
+    exact or near."""
+    spark = df.sparkSession
+    known = spark.read.parquet(f"{path}/exact_keys").distinct()
+    seen = staged(df.select(key, text, X.exact_key(X.text_of(text)).alias("exact_key")))
+    old = seen.join(known, "exact_key", "left_semi").select(key)
+    fresh = staged(seen.join(known, "exact_key", "left_anti").select(key, text))
+    within = near_dedup(fresh, key, text, limit, min_terms)
+    long = spark.read.parquet(f"{path}/signatures").where(F.col("n_terms") >= min_terms).select(F.concat(F.lit("old:"), F.col("sig").cast("string")).alias("k"), "sig")
+    mine = staged(signatures(fresh, key, text).where(F.col("n_terms") >= min_terms).select(F.concat(F.lit("new:"), F.col(key).cast("string")).alias("k"), "sig", key))
+    # the old side sorts behind the new one
+    close = near_pairs(mine.select("k", "sig").unionByName(long.distinct()), limit, "k").where("a like 'new:%' and b like 'old:%'").select(F.col("a").alias("k")).distinct()
+    near = mine.join(close, "k", "left_semi").select(key).distinct().withColumn("_near", F.lit(True))
+    verdict = within.join(near, key, "left").select(key, F.when(F.col("_near") & F.col("reason").isNull(), "near").otherwise(F.col("reason")).alias("reason"))
+    return verdict.unionByName(old.select(key, F.lit("exact").alias("reason")))
+
+
 def first_independent(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, kept): taken in order, a node is kept unless a kept node before it is its neighbour; what is dropped drops
     nothing. Rounds decide all nodes whose earlier neighbours are decided, until none is left."""

@@ -7,6 +7,7 @@ summed first, the few block totals are accumulated, and only rows of one block m
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -102,30 +103,36 @@ def next_in_group(df: DataFrame, key: str, by: str, order: str) -> DataFrame:
     return a.where("n > 1").join(b, (F.col(by) == F.col("_by")) & (F.col("at") == F.col("_at"))).select(key, by, "next")
 
 
-def next_fit(sizes: Iterable[int], capacity: int, gap: int = 1) -> Iterator[int]:
-    """The pack of each item in order: a new pack where the item and a separator no longer fit. Items above the capacity
-    stand alone."""
+def next_fit(sizes: Iterable[int], capacity: int, gap: int = 1, alone: Iterable[bool] | None = None) -> Iterator[tuple[int, int]]:
+    """(pack, start) of each item in order: a new pack where the item and the separator after the one before no longer fit.
+    Items above the capacity and items of `alone` close the open pack and stand alone."""
     pack, used = -1, None
-    for size in sizes:
-        if size > capacity:
-            pack, used = pack + 1, None
+    for size, apart in zip(sizes, alone if alone is not None else repeat(False)):
+        if apart or size > capacity:
+            pack, used, start = pack + 1, None, 0
         elif used is None or used + gap + size > capacity:
-            pack, used = pack + 1, size
+            pack, used, start = pack + 1, size, 0
         else:
-            used += gap + size
-        yield pack
+            start = used + gap
+            used = start + size
+        yield pack, start
 
 
-def next_fit_packs(df: DataFrame, by: str, order: str, size: str, capacity: int) -> DataFrame:
-    """(by, order, pack): next-fit packing of the rows of each group in order. The order makes it sequential: a group is
-    one task, so `by` should be a shard of bounded size."""
+def next_fit_packs(df: DataFrame, by: str, order: str, size: str, capacity: int, words: str | None = None, alone: str | None = None) -> DataFrame:
+    """(by, order, pack, start, word_start): next-fit packing of the rows of each group in order, each with the place of its
+    first token in its pack and, if `words` has the number of words of a row, that of its first word. The order makes it
+    sequential: a group is one task, so `by` should be a shard of bounded size."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order)
-        return pd.DataFrame({by: group[by], order: group[order], "pack": pd.Series(next_fit(group[size].tolist(), capacity), index=group.index, dtype="int64")})
-
-    schema = f"{by} {df.schema[by].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, pack long"
-    return df.where(F.col(size) > 0).select(by, order, size).groupBy(by).applyInPandas(fold, schema)
+        flags = group["_alone"].tolist() if alone else None
+        placed = pd.DataFrame(list(next_fit(group[size].tolist(), capacity, 1, flags)), columns=["pack", "start"], index=group.index)
+        before = group["_words"].groupby(placed["pack"]).cumsum() - group["_words"]
+        return pd.DataFrame({by: group[by], order: group[order], "pack": placed["pack"], "start": placed["start"], "word_start": before})
+
+    schema = f"{by} {df.schema[by].dataType.simpleString()}, {order} {df.schema[order].dataType.simpleString()}, pack long, start long, word_start long"
+    extra = [(F.col(words) if words else F.lit(0)).cast("long").alias("_words"), *([F.col(alone).alias("_alone")] if alone else [])]
+    return df.where(F.col(size) > 0).select(by, order, size, *extra).groupBy(by).applyInPandas(fold, schema)
 
 
 def plateau(losses: Iterable[tuple[int, float]], window: int, min_steps: int, min_delta: float, patience: int) -> Iterator[tuple[int, float | None, float | None, int, bool]]:

@@ -87,9 +87,9 @@ def window_w6_fixed_chop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def window_w7_next_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next-fit packs of 512 tokens with separators, in shards of 1,024 documents."""
-    shards = S.row_index(sizes(spark, sf_dir), "doc_id").select("doc_id", "n", F.floor(F.col("idx") / 1024).alias("shard"))
-    return S.next_fit_packs(shards, "shard", "doc_id", "n", 512)
+    """Next-fit packs of 512 tokens with separators, in shards of 1,024 documents; texts above 400 tokens stand alone."""
+    shards = S.row_index(sizes(spark, sf_dir), "doc_id").select("doc_id", "n", F.floor(F.col("idx") / 1024).alias("shard"), (F.col("n") > 400).alias("alone"))
+    return S.next_fit_packs(shards, "shard", "doc_id", "n", 512, words="n", alone="alone")
 
 
 @query("""with o as (select user_id, event_id, lead(event_id) over (partition by user_id order by event_id) as nx, first(event_id) over (partition by user_id order by event_id) as f, count(*) over (partition by user_id) as n from events)
@@ -262,6 +262,15 @@ def measure_p18_box_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("<"), F.lpad(x.cast("string"), 3, "0"), F.lit("><"), F.lpad(y.cast("string"), 3, "0"), F.lit(">")).alias("token"))
 
 
+@query("""with q as (select l_orderkey, l_linenumber, cast(round_even(l_quantity / 50 * 999, 0) as int) as x, cast(round_even(least(l_partkey / 2000.0, 1) * 999, 0) as int) as y from lineitem)
+    select l_orderkey, l_linenumber, x, y, round(x / 999.0 * 50, 6) as left, round(y / 999.0 * 2000, 6) as top from q""".replace("as left,", 'as "left",').replace("as top", 'as "top"'))
+def measure_p18_box_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bins that box tokens name, and the coordinates they stand for."""
+    tokens = measure_p18_box_tokens(spark, sf_dir)
+    x, y = (F.regexp_extract("token", r"\A<(\d{3,4})><(\d{3,4})>\z", k).cast("int") for k in (1, 2))
+    return tokens.select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"), F.round(x / 999.0 * 50, 6).alias("left"), F.round(y / 999.0 * 2000, 6).alias("top"))
+
+
 _CODES = "(select sample_id, reference_model.codepoints as c from samples where reference_model.codepoints is not null qualify row_number() over (partition by sample_id order by updated_at) = 1)"
 
 
@@ -285,6 +294,17 @@ def rows_p19_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.select("sample_id", F.size("ids").cast("long").alias("n"), first.cast("long").alias("first_supervised"), F.size(F.filter("labels", lambda x: x != -100)).cast("long").alias("n_supervised"))
 
 
+@query(f"select sample_id, len(c) as n, md5(array_to_string(c, ',')) as digest, true as contiguous from {_CODES} where len(c) > 0")
+def rows_p19_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target of a training row taken out of it again: from the first label that counts to the end token, with no
+    masked label between."""
+    built = _codes(spark, sf_dir).where(F.size("c") > 0).select("sample_id", F.concat(F.array(*(F.lit(-100) for _ in range(3))), "c", F.array(F.lit(0))).alias("labels"))
+    first = F.array_position(F.transform("labels", lambda x: (x != -100).cast("int")), 1).cast("int")
+    tail = built.select("sample_id", F.slice("labels", first, F.size("labels") - first + 1).alias("tail"))
+    target = F.slice("tail", F.lit(1), F.size("tail") - 1)
+    return tail.select("sample_id", F.size(target).cast("long").alias("n"), F.md5(F.array_join(target, ",")).alias("digest"), F.forall("tail", lambda x: x != -100).alias("contiguous"))
+
+
 @query(f"""with b as (select sample_id, c, (row_number() over (order by sample_id) - 1) // 16 as batch from {_CODES}), m as (select batch, (max(len(c)) + 7) // 8 * 8 as width from b group by batch)
     select sample_id, batch, width - len(c) as n_pad, width from b join m using (batch)""")
 def rows_p25_batch_padding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import dedup, joins, sequence
 from ..session import read_table as table
-from ..session import placed, spread
+from ..session import placed, shared_dir, spread
 from .text_queries import T, _sql_collapse
 
 QUERIES: dict = {}
@@ -222,6 +224,18 @@ def dedup_d2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query(f"""with k as (select doc_id, coalesce(lang, '') = 'en' as old, sha1({_sql_collapse(T)}) as exact_key from documents),
+    f as (select doc_id, exact_key, row_number() over (partition by exact_key order by doc_id) as rn from k where not old)
+    select doc_id, exact_key in (select exact_key from k where old) or rn > 1 as exact from f""")
+def dedup_d3_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come after those of one language, against the state that was written of these: exact repetitions."""
+    path = f"{shared_dir(spark)}/d3-{uuid.uuid4().hex}"
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dedup.dedup_state(documents.where("lang = 'en'"), path)
+    later = dedup.new_rows(documents.where("lang is null or lang <> 'en'"), path)
+    return later.select("doc_id", F.coalesce(F.col("reason") == "exact", F.lit(False)).alias("exact"))
+
+
 @query()
 def dedup_d4_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the number of characters in place of terms."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import morphology as M
 from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import chunks
@@ -256,6 +257,12 @@ def gate_g6_byte_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).where("text <> '' and octet_length(text) <= 600").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+def measure_f31_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mongolian words of the documents by the harmony of their vowels."""
+    words = docs(spark, sf_dir).select(F.explode(X.found(X.text_of("text"), f"[{P.SCRIPTS['mongolian']}]+")).alias("w"))
+    return words.groupBy(M.harmony(F.col("w")).alias("harmony")).agg(F.count("*").alias("n"), F.countDistinct("w").alias("words"))
+
+
 def gate_g7_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with its band: ids from 97 % of the largest on are test, from 94 % on validation, the rest training."""
     rows = docs(spark, sf_dir).select("doc_id")
@@ -282,7 +289,7 @@ def a2_character_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("input_records"), F.count_if(kept).alias("kept_records"), F.sum(F.when(kept, F.col("n")).otherwise(0)).cast("long").alias("kept_chars"), F.sum(F.when(kept, F.col("m")).otherwise(0)).cast("long").alias("kept_mongolian"))
 
 
-QUERIES |= {f.__name__: f for f in (gate_g1_reasons, gate_g2_web_reasons, gate_g3_mongolian_reasons, gate_g4_spam, gate_g5_min_length, gate_g6_byte_length, gate_g7_bands, a1_quality_dedup_report, a2_character_accounting)}
+QUERIES |= {f.__name__: f for f in (gate_g1_reasons, gate_g2_web_reasons, gate_g3_mongolian_reasons, gate_g4_spam, gate_g5_min_length, gate_g6_byte_length, gate_g7_bands, measure_f31_harmony, a1_quality_dedup_report, a2_character_accounting)}
 _URLLESS = _sql_strip(rf"array_to_string(list_filter({_lines}, lambda x: not ({_sql_strip('x')} <> '' and not contains({_sql_strip('x')}, ' ') and regexp_matches(lower({_sql_strip('x')}), '\A(?:https?://|www\.)'))), chr(10))")
 SQL |= {
     "gate_g1_reasons": f"select lang, coalesce({SQL_REASON}, 'kept') as reason, count(*) as n from documents group by all",
@@ -294,6 +301,8 @@ SQL |= {
     "gate_g4_spam": f"select doc_id, regexp_matches({T}, '{P.SPAM_GAMBLING}') or (regexp_matches({T}, '{P.SPAM_CONTACT}') and regexp_matches({T}, '{P.SPAM_OFFER}')) as spam from documents",
     "gate_g5_min_length": f"""select doc_id, length(clean) as n_chars from (select doc_id, coalesce(min_chars, 1) as min_chars,
         case when coalesce(strip_url_lines, false) then {_URLLESS} else {_sql_strip(T)} end as clean from documents join mix_sources using (source)) where length(clean) >= greatest(min_chars, 1)""",
+    "measure_f31_harmony": f"""with w as (select unnest(regexp_extract_all({T}, '[{P.SCRIPTS['mongolian']}]+')) as w from documents) select case when regexp_matches(w, '[{M.MASCULINE}]') and regexp_matches(w, '[{M.FEMININE}]') then 'mixed'
+        when regexp_matches(w, '[{M.MASCULINE}]') then 'masculine' when regexp_matches(w, '[{M.FEMININE}]') then 'feminine' else 'neutral' end as harmony, count(*) as n, count(distinct w) as words from w group by 1""",
     "gate_g6_byte_length": "select doc_id, strlen(text) as n_bytes from documents where text <> '' and strlen(text) <= 600",
     "gate_g7_bands": "with h as (select max(doc_id) as high from documents) select doc_id, case when doc_id >= high * 97 // 100 then 'test' when doc_id >= high * 94 // 100 then 'val' else 'train' end as band from documents, h",
     "a1_quality_dedup_report": f"""with r as (select doc_id, lang, {SQL_REASON} as reason, sha1({_sql_collapse(T)}) as key from documents),

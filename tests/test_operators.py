@@ -11,6 +11,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from corpuskiln.functions import morphology
 from corpuskiln.functions import text as X
 from corpuskiln.operators import chunks, components, dedup, joins, planning, scoring, sequence, tokens
 from corpuskiln.plans import row_queries, table_queries
@@ -105,7 +106,7 @@ def test_prefix_sum_is_the_running_total_for_any_partitioning(spark):
 
 
 def test_next_fit():
-    assert list(sequence.next_fit([3, 3, 4, 11, 2, 2], 8)) == [0, 0, 1, 2, 3, 3]
+    assert [p for p, _ in sequence.next_fit([3, 3, 4, 11, 2, 2], 8)] == [0, 0, 1, 2, 3, 3]
     assert list(sequence.next_fit([], 8)) == []
 
 
@@ -594,3 +595,43 @@ def test_a_sampler_prepares_the_same_batch_until_it_is_committed(spark, tmp_path
         twin.commit()
     again = streams.TransactionalSampler(ordered, "at", 4, streams.Ledger(spark, f"file://{tmp_path}/ledger"))
     assert again.next == 1 and ids(again) == ids(sampler) and not set(first) & set(ids(again))
+
+
+def test_suffixes_follow_harmony_and_order(spark):
+    rows = [("ᠠᠮᠠ", "ᠤᠨ", "all_variants"), ("ᠠᠮᠠ", "ᠦᠨ", "all_variants"), ("ᠠᠮᠠ", "ᠦᠨ", "none"), ("ᠮᠢᠨ", "ᠦᠨ", "masculine"), ("ᠠᠡ", "ᠦ", "masculine"), ("ᠡᠮᠡ", "ᠤᠨ", "feminine")]
+    df = spark.createDataFrame(rows, "stem string, suffix string, declared string")
+    stem, suffix = morphology.harmony(F.col("stem")), morphology.harmony(F.col("suffix"))
+    assert [r[0] for r in df.select(stem).collect()] == ["masculine", "masculine", "masculine", "neutral", "mixed", "feminine"]
+    assert [r[0] for r in df.coalesce(1).select(morphology.harmonizes(stem, suffix, F.col("declared"))).collect()] == [True, False, True, True, True, True]
+    kinds = spark.createDataFrame([("plural", "case"), ("case", "plural"), ("particle", "case"), ("x", "case")], "a string, b string")
+    assert [r[0] for r in kinds.coalesce(1).select(morphology.stacks(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+    many = spark.createDataFrame([(["plural", "case", "case"],), (["plural", "plural"],), ([],)], "k array<string>")
+    assert [r[0] for r in many.coalesce(1).select(morphology.sane(F.col("k"))).collect()] == [True, False, True]
+    letters = {r["code"] for r in morphology.alphabet(spark).collect()}
+    assert 0x1820 in letters and 0x1801 not in letters and 0x180B not in letters
+
+
+def test_next_fit_flushes_what_stands_alone(spark):
+    assert list(sequence.next_fit([3, 3, 9, 3, 2, 2], 8, 1, [False, False, False, False, True, False])) == [(0, 0), (0, 4), (1, 0), (2, 0), (3, 0), (4, 0)]
+    rows = spark.createDataFrame([("s", k, n, n * 2) for k, n in enumerate([3, 3, 3, 0])], "by string, at int, n int, words int")
+    got = [tuple(r) for r in sequence.next_fit_packs(rows, "by", "at", "n", 8, words="words").orderBy("at").collect()]
+    assert got == [("s", 0, 0, 0, 0), ("s", 1, 0, 4, 6), ("s", 2, 1, 0, 0)]
+
+
+def test_new_rows_meet_the_state_of_earlier_batches(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+    a, b, c = text(), text(), text()
+    close = a.split()
+    close[0] = "other"
+    schema = "doc_id long, text string"
+    dedup.dedup_state(spark.createDataFrame([(1, a), (2, None)], schema), str(tmp_path))
+    dedup.dedup_state(spark.createDataFrame([(3, b)], schema), str(tmp_path))
+    batch = spark.createDataFrame([(4, a + " "), (5, " ".join(close)), (6, c), (7, c), (8, ""), (9, b)], schema)
+    got = {r["doc_id"]: r["reason"] for r in dedup.new_rows(batch, str(tmp_path), limit=8).collect()}
+    assert got == {4: "exact", 5: "near", 6: None, 7: "exact", 8: "exact", 9: "exact"}
+
+
+def test_special_tokens_end_a_segment(spark):
+    df = spark.createDataFrame([("a<|x|>b <|y z|> ᠮᠣ",)], "t string")
+    assert df.select(X.found(F.col("t"), row_queries.SEGMENT)).first()[0] == ["a", "<|x|>", "b", " ", "<|y", " ", "z|>", " ", "ᠮᠣ"]
