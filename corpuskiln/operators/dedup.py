@@ -121,7 +121,8 @@ def near_pairs(sigs: DataFrame, limit: int, key: str = "doc_id", sig: str = "sig
     probes = F.flatten(F.array(*(_probed(i, low, width, radius) for i, (low, width) in enumerate(places))))
     right = distinct.select(F.col("sig").alias("sb"), F.explode(own).alias("b")).select("sb", "b.band", "b.part")
     left = distinct.select(F.col("sig").alias("sa"), F.explode(probes if radius else own).alias("b")).select("sa", "b.band", "b.part")
-    close = left.join(right, ["band", "part"]).where(F.col("sa") < F.col("sb")).where(distance(F.col("sa"), F.col("sb")) <= limit).select("sa", "sb").distinct()
+    # exploded sides are many times the size that is estimated for them: they are merged, never broadcast
+    close = left.join(right.hint("merge"), ["band", "part"]).where(F.col("sa") < F.col("sb")).where(distance(F.col("sa"), F.col("sb")) <= limit).select("sa", "sb").distinct()
     near = close.select("sa", "sb", distance(F.col("sa"), F.col("sb")).alias("dist")).union(distinct.select("sig", "sig", F.lit(0)))
     a, b = held.select(F.col("key").alias("ka"), F.col("sig").alias("sa")), held.select(F.col("key").alias("kb"), F.col("sig").alias("sb"))
     pairs = near.join(a, "sa").join(b, "sb").where("ka <> kb")

@@ -106,7 +106,7 @@ def leakage_g11_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "samples").where("split = 'formal_monitor'").select(F.col("reference_model.text").alias("t")).where("t is not null").distinct()
     excluded = held.select(F.explode(joins.window_hashes(F.col("t"))).alias("h")).distinct()
     rows = placed(table(spark, sf_dir, "reviews").where("reference_raw is not null").select("review_id", "reference_raw"), "review_id", "reference_raw").distinct()
-    return rows.select("review_id", F.explode(joins.window_hashes(F.col("reference_raw"))).alias("h")).join(excluded, "h", "left_semi").groupBy("review_id").agg(F.count("*").alias("hits"))
+    return rows.select("review_id", F.explode(joins.window_hashes(F.col("reference_raw"))).alias("h")).join(excluded.hint("merge"), "h", "left_semi").groupBy("review_id").agg(F.count("*").alias("hits"))
 
 
 @query("""with a as (select sample_id, max(reference_raw) as t from reviews where decision = 'approved' group by sample_id), b as (select sample_id, max(reference_model.text) as t from samples group by sample_id)
