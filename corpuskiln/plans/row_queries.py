@@ -29,14 +29,15 @@ def query(sql: str | None = None):
 
 _SPECIAL = r"<\|[^|<>\s]{1,40}\|>"
 _MN_RUN = r"[\x{1800}-\x{18af}]+(?:\x{202f}[\x{1800}-\x{18af}]+)*"
-#: Special tokens, spaces, Mongolian, the rest up to the next special token. The SQL engine cannot look ahead: its pattern
-#: finds special tokens only where a segment starts.
+#: Special tokens, spaces, Mongolian, the rest up to the next special token. The SQL engine cannot look ahead: there special
+#: tokens are set between marks first, which end a segment and are in none.
 SEGMENT = rf"{_SPECIAL}|[ \t\r\n]+|{_MN_RUN}|(?:(?!{_SPECIAL})[^ \t\r\n\x{{1800}}-\x{{18af}}])+"
-_SEGMENT_SQL = rf"{_SPECIAL}|[ \t\r\n]+|{_MN_RUN}|[^ \t\r\n\x{{1800}}-\x{{18af}}]+"
+_SEGMENT_SQL = rf"{_SPECIAL}|[ \t\r\n]+|{_MN_RUN}|[^ \t\r\n\x{{1800}}-\x{{18af}}\x{{f8ff}}]+"
+_MARKED_SQL = rf"regexp_replace({T}, '({_SPECIAL})', chr(63743) || '\1' || chr(63743), 'g')"
 _TRACK_SQL = r"case when regexp_matches(s, '^<\|[^|<>\s]{1,40}\|>$') then 'special' when regexp_matches(s, '^[ \t\r\n]') then 'space' when regexp_matches(s, '^[\x{1800}-\x{18af}]') then 'mn' else 'general' end"
 
 
-@query(rf"""with s as (select doc_id, unnest(regexp_extract_all({T}, '{_SEGMENT_SQL}')) as s from documents)
+@query(rf"""with s as (select doc_id, unnest(regexp_extract_all({_MARKED_SQL}, '{_SEGMENT_SQL}')) as s from documents)
     select doc_id, {_TRACK_SQL} as track, count(*) as n, cast(sum(length(s)) as bigint) as chars from s group by all""")
 def text_f38_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of each text by track: special tokens, spaces, Mongolian (with narrow spaces between its words), the rest."""
@@ -64,7 +65,7 @@ def count_a7_build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(rf"""with p as (select doc_id, unnest(list_transform(regexp_extract_all({T}, '{_SEGMENT_SQL}'), lambda s: length(s))) as n, unnest(generate_series(1, len(regexp_extract_all({T}, '{_SEGMENT_SQL}')))) as i from documents),
+@query(rf"""with p as (select doc_id, unnest(list_transform(regexp_extract_all({_MARKED_SQL}, '{_SEGMENT_SQL}'), lambda s: length(s))) as n, unnest(generate_series(1, len(regexp_extract_all({_MARKED_SQL}, '{_SEGMENT_SQL}')))) as i from documents),
     o as (select doc_id, i, sum(n) over (partition by doc_id order by i) - n as a, sum(n) over (partition by doc_id order by i) as b from p), g as (select *, lag(b) over (partition by doc_id order by i) as before from o)
     select doc_id, count(*) filter (b <= a) as empty, count(*) filter (before is not null and a <> before) as gaps, cast(max(b) as bigint) as reach from g group by doc_id""")
 def count_a14_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
