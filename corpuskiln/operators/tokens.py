@@ -168,3 +168,19 @@ def boundary_recall(tokens: DataFrame, boundaries: str = "boundaries") -> DataFr
     ends = F.aggregate("tokens", F.array().cast("array<int>"), lambda acc, t: F.concat(acc, F.array((F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(t)).cast("int"))))
     counted = tokens.select(F.size(boundaries).alias("n"), F.size(F.array_intersect(F.col(boundaries), ends)).alias("k")).where("n > 0")
     return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_boundaries"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_kept"), F.round(F.sum("k") / F.sum("n"), 6).alias("recall"))
+
+
+def byte_targets(rows: DataFrame, key: str, labels: str, vocabulary: DataFrame, ignored: int = -100, end: int = 0) -> DataFrame:
+    """(key, bytes) of training rows: the labels that count, up to the end token, decoded and as bytes. A masked label
+    among them raises, since such a row has no one target."""
+    first = F.array_position(F.transform(labels, lambda x: (x != ignored).cast("int")), 1).cast("int")
+    tail = F.when(first > 0, F.slice(labels, first, F.size(labels) - first + 1)).otherwise(F.slice(labels, F.lit(1), F.lit(0)))
+    whole = F.when(F.forall(tail, lambda x: x != ignored), tail).otherwise(F.raise_error(F.lit("masked labels within a target")).cast("array<bigint>"))
+    targets = rows.select(key, whole.alias("_ids"))
+    text = decode_ids(targets, key, "_ids", vocabulary, eos=end)
+    return text.select(key, F.encode("text", "UTF-8").alias("bytes"))
+
+
+def bytes_text(raw: Column) -> Column:
+    """Bytes as text, broken ones as U+FFFD."""
+    return F.make_valid_utf8(raw.cast("string"))

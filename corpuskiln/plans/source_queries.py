@@ -242,3 +242,84 @@ def digest_a29_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of the rows of each sample, repeated deliveries once."""
     rows = table(spark, sf_dir, "reviews").where("sample_id is not null and review_id is not null").select("sample_id", "review_id", "reference_raw").distinct()
     return rows.groupBy("sample_id").agg(H.set_digest(F.concat("review_id", F.lit("\t"), X.text_of("reference_raw"))).alias("digest"), F.count("*").alias("n"))
+
+
+@query(_sql_digests("text"))
+def scan_s1_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of JSON, with blank and broken lines between, read leniently."""
+    path = _place(spark, "s1")
+    held = table(spark, sf_dir, "documents").where("text is not null").select(F.to_json(F.struct("text", "lang")).alias("line"))
+    noise = spark.range(20).select(F.when(F.col("id") % 2 == 0, "  ").otherwise('{"text": "cut').alias("line"))
+    held.unionByName(noise).write.text(path)
+    return _digests(readers.json_lines(spark, path).select("text").where("text <> ''"))
+
+
+@query(_sql_digests(_sql_strip(_LINE)))
+def scan_s2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that blank lines separate."""
+    path = _place(spark, "s2")
+    _one_line(spark, sf_dir).select("line").write.option("lineSep", "\n\n").text(path)
+    return _digests(readers.paragraphs(spark, path))
+
+
+def _arrays(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of files that hold an array of 256 documents each, every other one under `data`."""
+    path = _place(spark, "s5")
+    parts = table(spark, sf_dir, "documents").where("text is not null").groupBy(F.floor(F.col("doc_id") / 256).alias("part")).agg(F.to_json(F.collect_list(F.struct("doc_id", "text"))).alias("json"))
+    wrapped = parts.select("part", F.when(F.col("part") % 2 == 0, F.col("json")).otherwise(F.concat(F.lit('{"data": '), "json", F.lit("}"))).alias("value"))
+    wrapped.repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+@query("select doc_id, md5(text) as digest from documents where text is not null")
+def scan_s5_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents out of arrays, bare and wrapped."""
+    return readers.json_array(spark, _arrays(spark, sf_dir), "doc_id bigint, text string").select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("select case when doc_id // 256 % 2 = 0 then 'array' else 'lines' end as layout, count(distinct doc_id // 256) as n from documents where text is not null group by 1")
+def scan_s6_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by their layout: an array where the first printed character is a bracket."""
+    return readers.layout(spark, f"{_arrays(spark, sf_dir)}/*/*.txt").groupBy("layout").agg(F.count("*").alias("n"))
+
+
+@query("""with d as (select case when text is null then 'other fields' when lang is null then 'type of lang' end as error from documents) select coalesce(error, 'none') as error, count(*) as n from d group by 1
+    union all select 'repeated field', 3 union all select 'no JSON', 3""")
+def scan_s28_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that must have exactly the fields text and lang, by what is wrong with them."""
+    path = _place(spark, "s28")
+    line = F.when(F.col("text").isNull(), F.to_json(F.struct("lang"))).otherwise(F.to_json(F.struct("text", "lang"), {"ignoreNullFields": "false"}))
+    odd = spark.range(6).select(F.when(F.col("id") % 2 == 0, '{"text": "a", "text": "b", "lang": "c"}').otherwise("{").alias("line"))
+    table(spark, sf_dir, "documents").select(line.alias("line")).unionByName(odd).write.text(path)
+    checked = readers.strict_json_lines(spark, path, {"text": "string", "lang": "string"})
+    return checked.groupBy(F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
+
+
+@query(_sql_digests("text"))
+def sink_k1_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as lines of JSON, in two goes, and read back."""
+    path = _place(spark, "k1")
+    documents = table(spark, sf_dir, "documents").where("text <> ''")
+    sinks.write_text_lines(documents.where("lang = 'en'"), path)
+    sinks.write_text_lines(documents.where("lang is null or lang <> 'en'"), path, mode="append")
+    return _digests(readers.json_lines(spark, path).select("text"))
+
+
+@query("select case when coalesce(text, '') = '' then 'empty' when n_chars < 100 then 'short' when n_chars < 2000 then 'middle' else 'long' end as route, count(*) as n, cast(sum(n_chars) as bigint) as n_chars from documents group by 1")
+def sink_k7_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four routes written in one pass and read back."""
+    path = _place(spark, "k7")
+    route = X.first_reason((X.text_of("text") == "", "empty"), (F.col("n_chars") < 100, "short"), (F.col("n_chars") < 2000, "middle"), (F.lit(True), "long"))
+    sinks.fan_out(table(spark, sf_dir, "documents").select("doc_id", "n_chars", route.alias("route")), path)
+    return spark.read.parquet(path).groupBy(F.col("route").cast("string").alias("route")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("select true as intact, true as changed_is_seen")
+def receipt_r9_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written table against its contract, and after a file was added."""
+    path = _place(spark, "r9")
+    table(spark, sf_dir, "mix_sources").coalesce(2).write.parquet(path)
+    contract = sinks.receipt(spark, path, rows=60)
+    intact = sinks.verify(spark, path, contract) == []
+    table(spark, sf_dir, "split_policy").coalesce(1).write.mode("append").parquet(path)
+    return spark.createDataFrame([(intact, sinks.verify(spark, path, contract) != [])], "intact boolean, changed_is_seen boolean")

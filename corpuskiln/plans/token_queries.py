@@ -136,3 +136,28 @@ def join_j11_token_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = samples.select(F.explode("reference_model.codepoints").alias("id")).distinct()
     track = F.when(F.col("id").between(6144, 6319) | (F.col("id") == 8239), "mn").when(F.col("id") < 128, "ascii").otherwise("other")
     return rows.join(F.broadcast(known.select("id", track.alias("track"))), "id").groupBy("sample_id", "track").agg(F.count("*").alias("n"))
+
+
+#: An id beyond the vocabulary that ends a completion.
+END = 70_000
+
+
+@query(f"select doc_id, {T} as text from documents")
+def token_t15_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as completions: ids, an end and ids behind it that count for nothing."""
+    words = staged(vocabulary(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = documents.select("doc_id").join(tokens.encode_ids(documents, "doc_id", "text", words), "doc_id", "left")
+    completed = ids.select("doc_id", F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.lit(END), F.lit(300), F.lit(END)).cast("array<bigint>")).alias("ids"))
+    return tokens.decode_ids(completed, "doc_id", "ids", words, eos=END)
+
+
+@query(f"select doc_id, strlen({T}) as n_bytes, md5({T}) as digest from documents")
+def token_t16_byte_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte targets of training rows: a masked prompt, the ids of a document, and an end."""
+    words = staged(vocabulary(spark, sf_dir))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = documents.select("doc_id").join(tokens.encode_ids(documents, "doc_id", "text", words), "doc_id", "left")
+    prompt, end = F.array(F.lit(-100), F.lit(-100)).cast("array<bigint>"), F.array(F.lit(END)).cast("array<bigint>")
+    rows = ids.select("doc_id", F.concat(prompt, F.coalesce("ids", F.array().cast("array<bigint>")), end).alias("labels"))
+    return tokens.byte_targets(rows, "doc_id", "labels", words, end=END).select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.md5("bytes").alias("digest"))

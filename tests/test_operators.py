@@ -635,3 +635,40 @@ def test_new_rows_meet_the_state_of_earlier_batches(spark, tmp_path):
 def test_special_tokens_end_a_segment(spark):
     df = spark.createDataFrame([("a<|x|>b <|y z|> ᠮᠣ",)], "t string")
     assert df.select(X.found(F.col("t"), row_queries.SEGMENT)).first()[0] == ["a", "<|x|>", "b", " ", "<|y", " ", "z|>", " ", "ᠮᠣ"]
+
+
+def test_byte_targets_of_rows(spark):
+    known = spark.createDataFrame([("ab", 300)], "word string, id long")
+    rows = [(1, [-100, -100, 300, 0xE2, 0x82, 0xAC, 7000]), (2, [-100, 7000]), (3, [-100, -100]), (4, [])]
+    df = spark.createDataFrame(rows, "k long, labels array<long>")
+    got = {r["k"]: bytes(r["bytes"]) for r in tokens.byte_targets(df, "k", "labels", known, end=7000).collect()}
+    assert got == {1: "ab€".encode(), 2: b"", 3: b"", 4: b""}
+    with pytest.raises(Exception, match="masked"):
+        tokens.byte_targets(spark.createDataFrame([(1, [300, -100, 7000])], df.schema), "k", "labels", known, end=7000).collect()
+    assert spark.createDataFrame([(b"a\xe2",)], "b binary").select(tokens.bytes_text(F.col("b"))).first()[0] == "a�"
+
+
+def test_mean_intervals_hold_the_mean(spark):
+    rng = random.Random(3)
+    rows = [("a", rng.randint(0, 9)) for _ in range(400)] + [("b", 5)] * 9 + [("b", None)]
+    got = {r["g"]: r for r in scoring.mean_intervals(spark.createDataFrame(rows, "g string, v int"), "g", "v").collect()}
+    values = [v for g, v in rows if g == "a"]
+    mean = sum(values) / 400
+    spread = (sum((v - mean) ** 2 for v in values) / 400) ** 0.5 / 20
+    assert got["a"]["n"] == 400 and got["a"]["mean"] == pytest.approx(mean)
+    assert got["a"]["low"] == pytest.approx(mean - 1.96 * spread, abs=0.3 * spread) and got["a"]["high"] == pytest.approx(mean + 1.96 * spread, abs=0.3 * spread)
+    assert (got["b"]["low"], got["b"]["mean"], got["b"]["high"], got["b"]["n"]) == (5, 5, 5, 9)
+
+
+def test_prefix_sums_of_sparse_keys(spark):
+    rng = random.Random(8)
+    keys = rng.sample(range(-(2**40), 2**40), 300)
+    df = spark.createDataFrame([(k, rng.randint(0, 9)) for k in keys], "k long, v int")
+    got = {r["k"]: r["before"] for r in sequence.prefix_sum(df, "k", F.col("v"), "before", block=2**33).collect()}
+    assert got == {r["k"]: r["before"] for r in sequence.prefix_sum(df, "k", F.col("v"), "before").collect()}
+    total = 0
+    for r in sorted(df.collect()):
+        assert got[r["k"]] == total
+        total += r["v"]
+    assert sequence.block_width(df, "k") > 2**40 and sequence.block_width(df.limit(0), "k") == sequence.BLOCK
+    assert sequence.row_index(df.limit(0), "k").count() == 0
