@@ -210,6 +210,17 @@ def look_alike_pairs(keyed: DataFrame, key: str = "key", text: str = "text") ->
     return met.select(F.col("ka").alias("text_a"), F.col("kb").alias("text_b")).distinct()
 
 
+def look_alike_classes(keyed: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """One row for each distinct key with a text that prints something: (key, class_id, n_texts, n_keys). `class_id` is a
+    digest of the form, `n_texts` the distinct texts of it, `n_keys` its keys: the same classes as the pairs, without a
+    row for each pair. A key with several texts has a row for each of its forms. Null and blank texts are left out."""
+    rows = keyed.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
+    forms = staged(canonical_texts(rows).where("canonical <> ''").select("h1", "h2", F.md5("canonical").alias("class_id")))
+    held = staged(rows.select("key", *text_key(F.col("text"))).join(forms, ["h1", "h2"]).select("key", "class_id").distinct())
+    sizes = forms.groupBy("class_id").agg(F.count("*").alias("n_texts")).join(held.groupBy("class_id").agg(F.count("*").alias("n_keys")), "class_id")
+    return held.join(sizes, "class_id").select("key", "class_id", "n_texts", "n_keys")
+
+
 def transcriptions(spark: SparkSession, reviews: DataFrame, samples: DataFrame) -> DataFrame:
     """(key, text) of all transcriptions: of reviews under `review_id`, of samples under `sample_id`."""
     return reviews.select(F.col("review_id").alias("key"), F.col("reference_raw").alias("text")).unionByName(samples.select(F.col("sample_id").alias("key"), F.col("reference_model.text").alias("text")))

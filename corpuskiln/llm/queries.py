@@ -10,7 +10,7 @@ from ..session import read_table as table
 from .budget import audit_estimates, document_tokens, token_budget
 from .encode import encode_texts
 from .mixing import mix_documents, plan_runs
-from .normalize import look_alike_pairs, normalize_texts, transcriptions
+from .normalize import look_alike_classes, look_alike_pairs, normalize_texts, transcriptions
 from .packing import pack_documents, packed_sources, packing_report
 from .quality import no_prose, quality_statistics
 from .sampling import draw_samples
@@ -28,6 +28,11 @@ def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_texts(transcriptions(spark, table(spark, sf_dir, "reviews"), table(spark, sf_dir, "samples")))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transcription with the class of those that look like it."""
+    return look_alike_classes(transcriptions(spark, table(spark, sf_dir, "reviews"), table(spark, sf_dir, "samples")))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related samples, as the split search has them: each with its group."""
     assigned = assign_splits(table(spark, sf_dir, "sources"), table(spark, sf_dir, "split_policy"))
@@ -122,6 +127,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_texts": p1_texts,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p2_report": p2_report,

@@ -149,6 +149,14 @@ def test_what_looks_the_same_and_what_does_not(spark):
     assert got == {(f"s{k}a", f"s{k}b") for k in range(len(same))}
 
 
+def test_classes_are_those_of_the_pairs(spark):
+    rows = [("a", "со"), ("b", "co"), ("c", "co"), ("d", "x"), ("e", None), ("f", " "), ("a", "со"), ("g", "х"), ("g", "ｘ")]
+    got = {r["key"]: r for r in normalize.look_alike_classes(spark.createDataFrame(rows, "key string, text string")).collect()}
+    assert set(got) == set("abcdg") and len({got[k]["class_id"] for k in "abc"}) == 1
+    assert {k: (r["n_texts"], r["n_keys"]) for k, r in got.items()} == {"a": (2, 3), "b": (2, 3), "c": (2, 3), "d": (3, 2), "g": (3, 2)}
+    assert normalize.look_alike_classes(spark.createDataFrame([], "key string, text string")).count() == 0
+
+
 def test_look_alikes_lead_to_shapes_that_stay():
     table = dict(normalize.shape_table())
     for shape in [*normalize.LOOK_ALIKES.values(), *normalize.SAME_SHAPE.values()]:
