@@ -153,7 +153,9 @@ def canonical_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     texts give one row. Other columns are not read, so their names cannot clash.
     """
     spark = texts.sparkSession
-    distinct = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    # by hash, not by text: the exploded code points are then where they are put together again
+    rows = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    distinct = rows.select(*text_key(F.col("text")), "text").groupBy("h1", "h2").agg(F.first("text").alias("text"))
     marked = F.col("text").rlike(r"[\p{M}&&[^\u180b-\u180d\u180f]]")
     # without marks every code point is its own cluster; with marks each keeps the number of the cluster it is in
     plain = F.transform(F.split("text", ""), lambda c, i: F.struct(i.alias("at"), F.lit(0).alias("k"), c.alias("unit")))
@@ -163,7 +165,7 @@ def canonical_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     units = F.when(marked, split).otherwise(plain)
     # one more, empty unit keeps texts that have no other
     units = F.concat(units, F.array(F.struct(F.lit(2**31 - 1).alias("at"), F.lit(0).alias("k"), F.lit("").alias("unit"))))
-    exploded = distinct.select(*text_key(F.col("text")), marked.alias("marked"), F.explode(units).alias("u")).select("h1", "h2", "marked", "u.at", "u.k", "u.unit")
+    exploded = distinct.select("h1", "h2", marked.alias("marked"), F.explode(units).alias("u")).select("h1", "h2", "marked", "u.at", "u.k", "u.unit")
     shapes = F.broadcast(spark.createDataFrame(shape_table(), SHAPES))
     own = F.array(F.struct(F.lit(0).alias("ccc"), F.col("unit").alias("ch")))
     parts = F.coalesce("parts", own)
