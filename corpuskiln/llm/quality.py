@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -182,19 +183,19 @@ def reads_like_language(sentence: str, entry: bool) -> bool:
     return len(words) >= 4
 
 
+@lru_cache(maxsize=200_000)
+def is_broken(token: str) -> bool:
+    """Whether symbols or digits break a word, or it is all symbols; dashes and bullets alone are not broken."""
+    bare = token.strip(EDGE)
+    return not CLEAN.match(bare) if bare else token not in ("-", "–", "—", "*", "•")
+
+
 def broken_share(text: str, tokens: list[str], chars: int) -> float:
     """The share of words that symbols or digits break, of Chinese text the share of such characters."""
     han = len(HAN.findall(text)) if not text.isascii() else 0
     if han > 0.25 * chars:
         return len(HAN_NOISE.findall(text)) / chars * 2
-    broken = 0
-    for token in tokens:
-        bare = token.strip(EDGE)
-        if bare:
-            broken += not CLEAN.match(bare)
-        else:
-            broken += token not in ("-", "–", "—", "*", "•")
-    return broken / max(len(tokens), 1)
+    return sum(map(is_broken, tokens)) / max(len(tokens), 1)
 
 
 def measure(text: str | None, common: frozenset[str] = frozenset()) -> tuple:
@@ -245,7 +246,7 @@ def measure(text: str | None, common: frozenset[str] = frozenset()) -> tuple:
             if reads_like_language(sentence, entry):
                 good += len(key)
     words = WORD.findall(text)
-    known = sum(w in common or w.lower() in common for w in words) if common else 0
+    known = sum(map(common.__contains__, map(str.lower, words))) if common else 0
     if common and not text.isascii() and (han := HAN.findall(text)):
         # a run of such characters is many words
         runs = sum(bool(HAN.match(w)) for w in words)
