@@ -134,13 +134,13 @@ def window_w12_last_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.capped(table(spark, sf_dir, "events").select("user_id", "event_id", "value", (-F.col("event_id")).alias("_o")), ["user_id"], ["_o"], 5).drop("_o")
 
 
-@query("""with d as (select doc_id, row_number() over (order by doc_id) - 1 as k, count(*) over () as n from documents), s as (select unnest(generate_series(0, 299)) as step, unnest([[0, 1, 2, 3, 4, 5, 6, 7]]) as js),
-    p as (select step, unnest(generate_series(0, 7)) as j from (select unnest(generate_series(0, 299)) as step)) select step, j, doc_id from p join d on (step * 8 + j) % n = k""")
+@query("""with d as (select doc_id, row_number() over (order by doc_id) - 1 as k, count(*) over () as n from documents),
+    p as (select step, unnest(generate_series(0, 7)) as j from (select unnest(generate_series(0, (select (count(*) * 5 // 2 + 7) // 8 - 1 from documents))) as step)) select step, j, doc_id from p join d on (step * 8 + j) % n = k""")
 def window_w13_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts of 300 batches of eight, round and round."""
+    """The texts of batches of eight, two and a half times round all documents."""
     numbered = S.row_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "k")
     n = numbered.count()
-    plan = spark.range(300 * 8).select(F.floor(F.col("id") / 8).alias("step"), F.pmod("id", F.lit(8)).alias("j"), F.pmod("id", F.lit(max(n, 1))).alias("k"))
+    plan = spark.range((n * 5 // 2 + 7) // 8 * 8).select(F.floor(F.col("id") / 8).alias("step"), F.pmod("id", F.lit(8)).alias("j"), F.pmod("id", F.lit(max(n, 1))).alias("k"))
     return plan.join(numbered, "k").select("step", "j", "doc_id")
 
 
