@@ -71,7 +71,7 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def layout(spark: SparkSession, path: str) -> DataFrame:
     """(path, layout) of JSON files: array where the first printed character is a bracket, else lines."""
-    head = F.ltrim(F.regexp_replace(F.decode(F.substring("content", 1, 4096), "UTF-8"), r"\A\s+", ""))
+    head = F.ltrim(F.regexp_replace(F.make_valid_utf8(F.substring("content", 1, 4096).cast("string")), r"\A\s+", ""))
     return spark.read.format("binaryFile").load(path).select("path", F.when(head.startswith("["), "array").otherwise("lines").alias("layout"))
 
 
