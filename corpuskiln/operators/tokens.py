@@ -19,6 +19,8 @@ from ..functions import text as X
 
 # The segments of the vocabulary, special ids and bytes first.
 SEGMENTS = {"mn": (256, 24_576), "general": (24_576, 65_536)}
+#: Ids of words beyond their segment begin here: above the segments, special ids and the ends of completions.
+BEYOND = 1_048_576
 #: Words of Mongolian (with narrow spaces inside), other words, single characters of all else.
 SEGMENT = rf"[{P.SCRIPTS['mongolian']}]+(?:\x{{202f}}[{P.SCRIPTS['mongolian']}]+)*|[^{P.SPACE}\p{{P}}\p{{S}}{P.SCRIPTS['mongolian']}]+|(?s)."
 MONGOLIAN = rf"^[{P.SCRIPTS['mongolian']}]"
@@ -51,11 +53,20 @@ def frequency_rank(counts: DataFrame, by: str, word: str = "word", n: str = "n",
 def unified_vocabulary(counts: DataFrame, least: int = 1) -> DataFrame:
     """(word, id) of the words (word, n) that occur at least `least` times: each track's in its segment, the most frequent
     first. A word too many for its segment raises: nothing is dropped in silence."""
+    running = running_vocabulary(counts, least)
+    return running.select("word", F.when(F.col("token") < BEYOND, F.col("id")).otherwise(F.raise_error(F.lit("a segment of the vocabulary is full"))).cast("long").alias("id"))
+
+
+def running_vocabulary(counts: DataFrame, least: int = 1) -> DataFrame:
+    """(word, id, token) of the words (word, n) that occur at least `least` times, however many they are, each track's the
+    most frequent first. `id` counts on from the start of the track's segment; past its end an id may be that of a word of
+    the other track too. `token` is the id within the segment and past its end one from BEYOND on, so no two words share one."""
     held = counts.where(F.col("n") >= least).withColumn("track", track_of(F.col("word")))
-    ranked = frequency_rank(held, "track")
-    low, high = (F.when(F.col("track") == "mn", SEGMENTS["mn"][k]).otherwise(SEGMENTS["general"][k]) for k in (0, 1))
-    identity = low + F.col("rank")
-    return ranked.select("word", F.when(identity < high, identity).otherwise(F.raise_error(F.lit("a segment of the vocabulary is full"))).cast("long").alias("id"))
+    mongolian = F.col("track") == "mn"
+    low, high = (F.when(mongolian, SEGMENTS["mn"][k]).otherwise(SEGMENTS["general"][k]) for k in (0, 1))
+    ranked = frequency_rank(held, "track").withColumn("id", (low + F.col("rank")).cast("long"))
+    beyond = BEYOND + 2 * (F.col("id") - high) + F.when(mongolian, 0).otherwise(1)
+    return ranked.select("word", "id", F.when(F.col("id") < high, F.col("id")).otherwise(beyond).cast("long").alias("token"))
 
 
 def byte_ids(piece: Column) -> Column:
@@ -69,7 +80,7 @@ def byte_tokens(piece: Column) -> Column:
 
 
 def encode_spans(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(key, at, piece, track, start, end, ids) of every segment. `vocabulary` has (word, id), below 65,536 ids."""
+    """(key, at, piece, track, start, end, ids) of every segment. `vocabulary` has (word, id)."""
     known = F.broadcast(vocabulary.select(F.col("word").alias("_word"), F.col("id").alias("_id")))
     joined = segments(df, key, text).join(known, F.col("piece") == F.col("_word"), "left")
     return joined.select(key, "at", "piece", "track", "start", "end", F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(byte_ids(F.col("piece"))).alias("ids"))

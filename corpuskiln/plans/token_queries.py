@@ -34,10 +34,21 @@ _WORDS_SQL = f"""w as (select doc_id, unnest(regexp_extract_all({T}, '{_SEGMENT_
     v as (select word, case when track = 'mn' then 256 else 24576 end + row_number() over (partition by track order by n desc, encode(word)) - 1 as id from c)"""
 
 
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of the documents that occur five times at least."""
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, n) of the words of the documents."""
     words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(X.found(X.text_of("text"), tokens.SEGMENT)).alias("word")).where(F.col("word").rlike(r"[\p{L}\p{N}]"))
-    return tokens.unified_vocabulary(words.groupBy("word").agg(F.count("*").alias("n")), LEAST)
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the documents that occur five times at least, with ids as SQL counts them: past the end of a segment
+    they go on."""
+    return tokens.running_vocabulary(word_counts(spark, sf_dir), LEAST).select("word", "id")
+
+
+def coding_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same words with an id of their own each, so that what is encoded can be decoded."""
+    return tokens.running_vocabulary(word_counts(spark, sf_dir), LEAST).select("word", F.col("token").alias("id"))
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +76,7 @@ def token_t4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_t5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, decoded and compared."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = staged(vocabulary(spark, sf_dir))
+    words = staged(coding_vocabulary(spark, sf_dir))
     back = tokens.decode_ids(tokens.encode_ids(documents, "doc_id", "text", words), "doc_id", "ids", words).withColumnRenamed("text", "back")
     joined = documents.join(back, "doc_id", "left")
     again = F.coalesce("back", F.lit(""))
@@ -75,7 +86,7 @@ def token_t5_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select count(*) as n, cast(0 as bigint) as n_failed, 1.0 as rate from documents")
 def token_a13_round_trip_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many documents come back from their ids."""
-    tripped = tokens.round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", staged(vocabulary(spark, sf_dir)))
+    tripped = tokens.round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", staged(coding_vocabulary(spark, sf_dir)))
     return tripped.agg(F.count("*").alias("n"), F.count_if(~F.col("same")).alias("n_failed"), F.round(F.avg(F.col("same").cast("double")), 6).alias("rate"))
 
 
@@ -145,7 +156,7 @@ END = 70_000
 @query(f"select doc_id, {T} as text from documents")
 def token_t15_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as completions: ids, an end and ids behind it that count for nothing."""
-    words = staged(vocabulary(spark, sf_dir))
+    words = staged(coding_vocabulary(spark, sf_dir))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = documents.select("doc_id").join(tokens.encode_ids(documents, "doc_id", "text", words), "doc_id", "left")
     completed = ids.select("doc_id", F.concat(F.coalesce("ids", F.array().cast("array<bigint>")), F.array(F.lit(END), F.lit(300), F.lit(END)).cast("array<bigint>")).alias("ids"))
@@ -155,7 +166,7 @@ def token_t15_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, strlen({T}) as n_bytes, md5({T}) as digest from documents")
 def token_t16_byte_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The byte targets of training rows: a masked prompt, the ids of a document, and an end."""
-    words = staged(vocabulary(spark, sf_dir))
+    words = staged(coding_vocabulary(spark, sf_dir))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = documents.select("doc_id").join(tokens.encode_ids(documents, "doc_id", "text", words), "doc_id", "left")
     prompt, end = F.array(F.lit(-100), F.lit(-100)).cast("array<bigint>"), F.array(F.lit(END)).cast("array<bigint>")
