@@ -2,13 +2,14 @@
 
 A text is cut into segments: Mongolian words, other words, and single characters of all else. A word that its track's
 segment of the vocabulary holds is one token; everything else is as many tokens as it has bytes. Ids below 256 are bytes.
-The vocabulary has a bounded number of ids, so it is broadcast; texts are exploded and encoded by joins, without Python.
+A vocabulary of up to HELD words goes to every task, and texts are encoded and decoded row by row; with a larger one they
+are exploded and joined. Neither takes Python.
 """
 
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,10 @@ from ..functions import text as X
 SEGMENTS = {"mn": (256, 24_576), "general": (24_576, 65_536)}
 #: Ids of words beyond their segment begin here: above the segments, special ids and the ends of completions.
 BEYOND = 1_048_576
+#: Words of a vocabulary that every task holds (some 100 bytes each); a larger one is joined by shuffles.
+HELD = 500_000
+#: Groups by hash in which tasks look words up.
+BUCKETS = 65_536
 #: Words of Mongolian (with narrow spaces inside), other words, single characters of all else.
 SEGMENT = rf"[{P.SCRIPTS['mongolian']}]+(?:\x{{202f}}[{P.SCRIPTS['mongolian']}]+)*|[^{P.SPACE}\p{{P}}\p{{S}}{P.SCRIPTS['mongolian']}]+|(?s)."
 MONGOLIAN = rf"^[{P.SCRIPTS['mongolian']}]"
@@ -79,15 +84,43 @@ def byte_tokens(piece: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit(".."), F.lit(0)), lambda b: F.concat(F.lit("<0x"), b, F.lit(">")))
 
 
+def held(vocabulary: DataFrame, *columns: Column) -> DataFrame:
+    """Columns of a vocabulary as a side of a join. It is counted first, so it should be staged."""
+    known = vocabulary.select(*columns)
+    return F.broadcast(known) if vocabulary.count() <= HELD else known
+
+
 def encode_spans(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(key, at, piece, track, start, end, ids) of every segment. `vocabulary` has (word, id)."""
-    known = F.broadcast(vocabulary.select(F.col("word").alias("_word"), F.col("id").alias("_id")))
+    known = held(vocabulary, F.col("word").alias("_word"), F.col("id").alias("_id"))
     joined = segments(df, key, text).join(known, F.col("piece") == F.col("_word"), "left")
     return joined.select(key, "at", "piece", "track", "start", "end", F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(byte_ids(F.col("piece"))).alias("ids"))
 
 
+def _bucket(c: Column) -> Column:
+    return F.pmod(F.hash(c), F.lit(BUCKETS))
+
+
+def lookup(known: DataFrame, key: str, value: str) -> Column:
+    """known (key, value) as one value, for found_in: an array of small maps, by hash of the key. Keys are distinct, else it
+    raises; HELD rows at most. Given to a query as a column of its own and read at one place, it is held once by each task
+    and never copied to rows: Spark puts it where it is read."""
+    empty = known.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(None).alias("e"))
+    lists = known.select(_bucket(F.col(key)).alias("b"), F.struct(F.col(key), F.col(value)).alias("e")).unionByName(empty).groupBy("b").agg(F.collect_list("e").alias("e"))
+    return lists.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "e"))), lambda x: F.map_from_entries(x.e)).alias("m")).scalar()
+
+
+def found_in(table: Column, c: Column) -> Column:
+    """The value that a lookup has for c, else null."""
+    return F.try_element_at(F.get(table, _bucket(c)), c)
+
+
 def encode_ids(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """(key, ids) of every row that has a token; what lies in one text is put together in one row."""
+    if vocabulary.count() <= HELD:
+        known = df.where(X.text_of(text) != "").withColumn("_known", lookup(vocabulary.select("word", F.array("id").alias("ids")), "word", "ids"))
+        ids = F.transform(X.found(X.text_of(text), SEGMENT), lambda p: F.coalesce(found_in(F.col("_known"), p), byte_ids(p)))
+        return known.select(key, F.flatten(ids).alias("ids"))
     spans = encode_spans(df, key, text, vocabulary).select(key, F.struct("at", "ids").alias("s"))
     return spans.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.ids)).alias("ids"))
 
@@ -101,12 +134,19 @@ def decode_ids(df: DataFrame, key: str, ids: str, vocabulary: DataFrame, eos: in
         place = F.array_position(values, F.lit(eos).cast("long"))
         cut = F.when(place > 0, F.slice(values, F.lit(1), (place - 1).cast("int"))).otherwise(values)
         values = F.when((place == 0) & F.lit(unfinished), F.concat(cut, F.array(F.lit(-1).cast("long")))).otherwise(cut)
-    known = F.broadcast(vocabulary.select(F.col("id").alias("_id"), F.hex(F.encode("word", "UTF-8")).alias("_hex")))
-    spread_ = df.select(key, F.posexplode(values).alias("at", "id")).join(known, F.col("id") == F.col("_id"), "left")
-    raw = F.coalesce("_hex", F.when(F.col("id").between(0, 255), F.lpad(F.hex("id"), 2, "0")), F.lit("EFBFBD"))
-    joined = spread_.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", raw.alias("h")))), lambda x: x.h), "").alias("_raw"))
-    text = F.make_valid_utf8(F.unhex("_raw").cast("string"))
-    return df.select(key).distinct().join(joined, key, "left").select(key, F.coalesce(text, F.lit("")).alias("text"))
+
+    def written(id_: Column, word: Column) -> Column:
+        return F.coalesce(word, F.when(id_.between(0, 255), F.lpad(F.hex(id_), 2, "0")), F.lit("EFBFBD"))
+
+    known = vocabulary.select(F.col("id").alias("_id"), F.hex(F.encode("word", "UTF-8")).alias("_hex"))
+    if vocabulary.count() <= HELD:
+        words = df.select(key, values.alias("_ids")).withColumn("_known", lookup(known, "_id", "_hex"))
+        joined = words.select(key, F.array_join(F.transform("_ids", lambda i: written(i, found_in(F.col("_known"), i))), "").alias("_raw"))
+    else:
+        spread_ = df.select(key, F.posexplode_outer(values).alias("at", "id")).join(known, F.col("id") == F.col("_id"), "left")
+        piece = F.when(F.col("at").isNotNull(), F.struct("at", written(F.col("id"), F.col("_hex")).alias("h")))
+        joined = spread_.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x.h), "").alias("_raw"))
+    return joined.select(key, F.make_valid_utf8(F.unhex("_raw").cast("string")).alias("text"))
 
 
 def round_trips(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries whose words are more than their segments of the vocabulary hold agree with their SQL, which numbers all words."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuskiln.operators import tokens
 from corpuskiln.plans import token_queries
@@ -12,6 +13,7 @@ SMALL = {"mn": (256, 258), "general": (24_576, 24_579)}
 MEETING = {"mn": (256, 258), "general": (258, 261)}
 FULL = {
     "token_a12_coverage": SMALL,
+    "token_t15_completions": MEETING,
 }
 
 
@@ -29,3 +31,17 @@ def test_words_beyond_their_segment_have_tokens_of_their_own(spark, monkeypatch)
     beyond = tokens.BEYOND
     assert got == {"ᠠ": (256, 256), "ᠡ": (257, 257), "ᠢ": (258, beyond), "ᠣ": (259, beyond + 2), "a": (258, 258), "b": (259, 259), "c": (260, 260), "d": (261, beyond + 1)}
     assert beyond > token_queries.END
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_vocabularies_held_and_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(tokens, "HELD", most)
+    texts = ["ᠮᠣᠩᠭᠣᠯ the cat", "é😀\x00 the", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    known = spark.createDataFrame([("the", 300), ("ᠮᠣᠩᠭᠣᠯ", tokens.BEYOND)], "word string, id long")
+    ids = tokens.encode_ids(df, "k", "t", known)
+    assert {r["k"]: r["ids"] for r in ids.collect()} == {0: [tokens.BEYOND, 32, 300, 32, *b"cat"], 1: [*"é😀\x00 ".encode(), 300]}
+    assert {r["k"]: r["text"] for r in tokens.decode_ids(ids, "k", "ids", known).collect()} == {0: texts[0], 1: texts[1]}
+    broken = spark.createDataFrame([(1, [300, 0xE2, 7, 5000, None]), (2, []), (3, None)], "k long, ids array<long>")
+    assert {r["k"]: r["text"] for r in tokens.decode_ids(broken, "k", "ids", known).collect()} == {1: "the�\x07��", 2: "", 3: ""}
+    assert tokens.encode_spans(df, "k", "t", known).where(F.element_at("ids", 1) >= 256).count() == 3
