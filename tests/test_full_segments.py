@@ -14,6 +14,7 @@ MEETING = {"mn": (256, 258), "general": (258, 261)}
 FULL = {
     "token_a12_coverage": SMALL,
     "token_t15_completions": MEETING,
+    "token_t5_round_trip": MEETING,
 }
 
 
