@@ -15,6 +15,7 @@ FULL = {
     "token_a12_coverage": SMALL,
     "token_t15_completions": MEETING,
     "token_t5_round_trip": MEETING,
+    "token_a13_round_trip_rate": MEETING,
 }
 
 
