@@ -16,6 +16,7 @@ FULL = {
     "token_t15_completions": MEETING,
     "token_t5_round_trip": MEETING,
     "token_a13_round_trip_rate": MEETING,
+    "token_t16_byte_targets": MEETING,
 }
 
 
