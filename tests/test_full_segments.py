@@ -17,6 +17,7 @@ FULL = {
     "token_t5_round_trip": MEETING,
     "token_a13_round_trip_rate": MEETING,
     "token_t16_byte_targets": MEETING,
+    "token_t8_vocabulary": SMALL,
 }
 
 
