@@ -18,6 +18,7 @@ FULL = {
     "token_a13_round_trip_rate": MEETING,
     "token_t16_byte_targets": MEETING,
     "token_t8_vocabulary": SMALL,
+    "token_a11_hit_report": MEETING,
 }
 
 
