@@ -19,6 +19,7 @@ FULL = {
     "token_t16_byte_targets": MEETING,
     "token_t8_vocabulary": SMALL,
     "token_a11_hit_report": MEETING,
+    "token_a16_baselines": MEETING,
 }
 
 
