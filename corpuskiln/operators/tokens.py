@@ -76,7 +76,8 @@ def running_vocabulary(counts: DataFrame, least: int = 1) -> DataFrame:
 
 def byte_ids(piece: Column) -> Column:
     """The bytes of a text as ids."""
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit(".."), F.lit(0)), lambda b: F.conv(b, 16, 10).cast("long"))
+    several = F.transform(F.regexp_extract_all(F.hex(F.encode(piece, "UTF-8")), F.lit(".."), F.lit(0)), lambda b: F.conv(b, 16, 10).cast("long"))
+    return F.when(F.octet_length(piece) == 1, F.array(F.ascii(piece).cast("long"))).otherwise(several)
 
 
 def byte_tokens(piece: Column) -> Column:

@@ -20,6 +20,7 @@ FULL = {
     "token_t8_vocabulary": SMALL,
     "token_a11_hit_report": MEETING,
     "token_a16_baselines": MEETING,
+    "token_t4_spans": SMALL,
 }
 
 
