@@ -35,9 +35,9 @@ _WORDS_SQL = f"""w as (select doc_id, unnest(regexp_extract_all({T}, '{_SEGMENT_
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, n) of the words of the documents."""
+    """(word, n) of the words of the documents that occur five times at least; counted once, though ranks read them twice."""
     words = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(X.found(X.text_of("text"), tokens.SEGMENT)).alias("word")).where(F.col("word").rlike(r"[\p{L}\p{N}]"))
-    return words.groupBy("word").agg(F.count("*").alias("n"))
+    return staged(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
