@@ -226,11 +226,14 @@ def boundary_recall(tokens: DataFrame, boundaries: str = "boundaries") -> DataFr
 
 def byte_targets(rows: DataFrame, key: str, labels: str, vocabulary: DataFrame, ignored: int = -100, end: int = 0) -> DataFrame:
     """(key, bytes) of training rows: the labels that count, up to the end token, decoded and as bytes. A masked label
-    among them raises, since such a row has no one target."""
+    among them raises, since such a row has no one target. Rows of a masked prompt and a target go without a function for
+    each label; the rest are looked through one by one."""
+    kept = F.array_remove(labels, ignored)
+    plain = ~F.array_contains(F.slice(labels, F.size(labels) - F.size(kept) + 1, F.size(kept)), ignored)
     first = F.array_position(F.transform(labels, lambda x: (x != ignored).cast("int")), 1).cast("int")
     tail = F.when(first > 0, F.slice(labels, first, F.size(labels) - first + 1)).otherwise(F.slice(labels, F.lit(1), F.lit(0)))
     whole = F.when(F.forall(tail, lambda x: x != ignored), tail).otherwise(F.raise_error(F.lit("masked labels within a target")).cast("array<bigint>"))
-    targets = rows.select(key, whole.alias("_ids"))
+    targets = rows.select(key, F.when(plain, kept).otherwise(whole).alias("_ids"))
     text = decode_ids(targets, key, "_ids", vocabulary, eos=end)
     return text.select(key, F.encode("text", "UTF-8").alias("bytes"))
 

@@ -63,3 +63,14 @@ def test_large_vocabularies_go_row_by_row(spark):
     assert ids.first()["ids"] == [256, 32, 605_255, 32, *b"w605000"]
     assert back.first()["text"] == "w0 w604999 w605000"
     assert "posexplode" not in back._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_byte_targets_of_every_row_of_labels(spark):
+    known = spark.createDataFrame([("ab", 300)], "word string, id long")
+    rows = [[-100, -100, 300, 99, 0], [300, 99, 0, 5], [-100, -100], [], [None, -100, 300, 0], [0]]
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, labels array<long>")
+    got = {r["k"]: bytes(r["bytes"]) for r in tokens.byte_targets(df, "k", "labels", known).collect()}
+    assert got == {0: b"abc", 1: b"abc", 2: b"", 3: b"", 4: b"ab", 5: b""}
+    for bad in ([-100, 300, -100, 0], [300, -100], [300, None, 0], None):
+        with pytest.raises(Exception, match="masked labels within a target"):
+            tokens.byte_targets(spark.createDataFrame([(1, bad)], "k long, labels array<long>"), "k", "labels", known).collect()
