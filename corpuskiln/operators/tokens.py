@@ -100,6 +100,12 @@ def encode_spans(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> D
     return joined.select(key, "at", "piece", "track", "start", "end", F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(byte_ids(F.col("piece"))).alias("ids"))
 
 
+def encode_counted(counts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(piece, n, track, ids) of distinct segments (piece, n). `vocabulary` has (word, id)."""
+    joined = counts.join(vocabulary.select(F.col("word").alias("_word"), F.col("id").alias("_id")), F.col("piece") == F.col("_word"), "left")
+    return joined.select("piece", "n", track_of(F.col("piece")).alias("track"), F.when(F.col("_id").isNotNull(), F.array("_id")).otherwise(byte_ids(F.col("piece"))).alias("ids"))
+
+
 def _bucket(c: Column) -> Column:
     return F.pmod(F.hash(c), F.lit(BUCKETS))
 
@@ -158,11 +164,12 @@ def round_trips(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> Da
     return df.select(key, X.text_of(text).alias("_text")).join(back, key, "left").select(key, (F.col("_text") == F.coalesce("_back", F.lit(""))).alias("same"))
 
 
-def hit_report(spans: DataFrame) -> DataFrame:
+def hit_report(spans: DataFrame, n: str | None = None) -> DataFrame:
     """By track, of segments that are no white space: n_pieces, word_hits (one token of the vocabulary), n_tokens,
-    byte_tokens, and the shares of both."""
+    byte_tokens, and the shares of both. `n` is how often a segment counts, once if not given."""
+    times = F.col(n) if n else F.lit(1)
     held = spans.where(F.trim("piece") != "").withColumn("_hit", (F.size("ids") == 1) & (F.element_at("ids", 1) >= 256))
-    counted = held.groupBy("track").agg(F.count("*").alias("n_pieces"), F.count_if("_hit").alias("word_hits"), F.sum(F.size("ids")).cast("long").alias("n_tokens"), F.sum(F.when(F.col("_hit"), 0).otherwise(F.size("ids"))).cast("long").alias("byte_tokens"))
+    counted = held.groupBy("track").agg(F.sum(times).alias("n_pieces"), F.sum(F.when(F.col("_hit"), times).otherwise(0)).alias("word_hits"), F.sum(times * F.size("ids")).alias("n_tokens"), F.sum(F.when(F.col("_hit"), 0).otherwise(times * F.size("ids"))).alias("byte_tokens"))
     return counted.withColumn("hit_rate", F.round(F.col("word_hits") / F.col("n_pieces"), 6)).withColumn("byte_rate", F.round(F.col("byte_tokens") / F.col("n_tokens"), 6))
 
 

@@ -56,6 +56,14 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_spans(documents, "doc_id", "text", staged(vocabulary(spark, sf_dir)))
 
 
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(piece, n, track, ids) of the distinct segments of the documents; counted once, for words and ids."""
+    pieces = spread(table(spark, sf_dir, "documents").select("text")).select(F.explode(X.found(X.text_of("text"), tokens.SEGMENT)).alias("piece"))
+    counts = staged(pieces.groupBy("piece").agg(F.count("*").alias("n")))
+    words = counts.where(F.col("piece").rlike(r"[\p{L}\p{N}]")).withColumnRenamed("piece", "word")
+    return tokens.encode_counted(counts, tokens.running_vocabulary(words, LEAST))
+
+
 @query(f"with {_WORDS_SQL} select word, id from v")
 def token_t8_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vocabulary in segments: Mongolian words from 256, others from 24,576, the most frequent first. A segment that
@@ -97,7 +105,7 @@ _HITS_SQL = f"""{_WORDS_SQL}, h as (select case when regexp_matches(w.word, '{to
     round(count(*) filter (hit) / cast(count(*) as double), 6) as hit_rate, round(sum(case when hit then 0 else n end) / cast(sum(n) as double), 6) as byte_rate from h group by track""")
 def token_a11_hit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are tokens, and tokens that are bytes, by track."""
-    return tokens.hit_report(_spans(spark, sf_dir))
+    return tokens.hit_report(_counted(spark, sf_dir), "n")
 
 
 @query(f"""with {_WORDS_SQL}, t as (select distinct reference_model.text as t from samples where reference_model.text is not null), x as (select unnest(regexp_extract_all(t, '{_SEGMENT_SQL}')) as word from t),
