@@ -126,7 +126,8 @@ def token_a12_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     select tokens, chars, bytes, round(tokens / cast(chars as double), 6) as per_char, round(tokens / cast(bytes as double), 6) as per_byte from b, z""")
 def token_a16_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens that print something, against characters and bytes as tokens."""
-    held = _spans(spark, sf_dir).agg(F.sum(F.when(F.trim("piece") != "", F.size("ids")).otherwise(0)).alias("tokens"), F.sum(F.length("piece")).alias("chars"), F.sum(F.octet_length("piece")).alias("bytes"))
+    n = F.col("n")
+    held = _counted(spark, sf_dir).agg(F.sum(F.when(F.trim("piece") != "", n * F.size("ids")).otherwise(0)).alias("tokens"), F.sum(n * F.length("piece")).alias("chars"), F.sum(n * F.octet_length("piece")).alias("bytes"))
     return held.select("tokens", "chars", "bytes", F.round(F.col("tokens") / F.col("chars"), 6).alias("per_char"), F.round(F.col("tokens") / F.col("bytes"), 6).alias("per_byte"))
 
 

@@ -76,7 +76,7 @@ def test_byte_targets_of_every_row_of_labels(spark):
             tokens.byte_targets(spark.createDataFrame([(1, bad)], "k long, labels array<long>"), "k", "labels", known).collect()
 
 
-@pytest.mark.parametrize("name", ["token_a11_hit_report"])
+@pytest.mark.parametrize("name", ["token_a11_hit_report", "token_a16_baselines"])
 def test_reports_are_made_of_counted_segments(spark, sf_dir, name):
     """Occurrences are counted where they are cut; joined one by one, they are beyond the disk with a large vocabulary."""
     assert "posexplode" not in token_queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
