@@ -66,8 +66,8 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_WORDS_SQL} select word, id from v")
 def token_t8_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vocabulary in segments: Mongolian words from 256, others from 24,576, the most frequent first. A segment that
-    overflows raises."""
+    """A vocabulary in segments: Mongolian words from 256, others from 24,576, the most frequent first. Past the end of a
+    segment ids go on."""
     return vocabulary(spark, sf_dir)
 
 
